@@ -150,9 +150,11 @@ class Encoder:
     """The library's ids, asked once for each chunk that texts are made of.
 
     The vocabulary splits before every single blank and around every single line end, so the ids of a text are those of
-    its chunks. Texts with other or repeated white space, or with special strings, go to the library whole."""
+    its chunks. Texts with other or repeated white space, or with special strings, go to the library whole. A chunk of
+    letters is one piece of the vocabulary's split and goes straight to the library's model; a mark behind letters is a
+    piece of its own. When the cache is full, the chunks used only once leave it."""
 
-    LIMIT = 400_000
+    LIMIT = 500_000
     _ODD = re.compile(r"[^\S \n]|\s\s|\s$")
     _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\v", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -160,9 +162,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.specials = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        # the printable letter that stands for each byte in byte-level vocabularies
+        shown, rest = {*range(33, 127), *range(161, 173), *range(174, 256)}, iter(range(256, 512))
+        self.letters = {b: b if b in shown else next(rest) for b in range(256)}
         self.known: dict[str, int] = {}
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._store([], [])
 
     def _is_odd(self, text: str) -> bool:
         if text.isascii():
@@ -172,11 +178,65 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _store(self, chunks: list[str], ids: list[list[int]]) -> None:
+        """Add chunks to the cache, whose arrays grow by doubling; an empty cache starts anew."""
+        if not self.known:
+            self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+            self.first, self.size, self.again = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+        if not chunks:
+            return
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        n, at = len(self.known), self.used
+        end, self.used = n + len(chunks), at + int(sizes.sum())
+        for name, least in (("first", end), ("size", end), ("again", end), ("flat", self.used)):
+            old = getattr(self, name)
+            if len(old) < least:
+                new = np.zeros(max(2 * len(old), least), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.known.update(zip(chunks, range(n, end), strict=True))
+        self.flat[at : self.used] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=self.used - at)
+        self.first[n:end] = at + np.cumsum(sizes) - sizes
+        self.size[n:end] = sizes
+
+    def _forget(self) -> None:
+        keep = self.again[: len(self.known)]
+        if 2 * int(keep.sum()) > self.LIMIT:
+            keep = np.zeros(len(keep), bool)
+        chunks = [c for c, k in zip(self.known, keep.tolist(), strict=True) if k]
+        at = np.flatnonzero(keep)
+        ids = [self.flat[f : f + n].tolist() for f, n in zip(self.first[at], self.size[at], strict=True)]
+        self.known = {}
+        self._store(chunks, ids)
+
+    def _learn(self, missing: set[str]) -> None:
+        whole, words, tails = [], [], {}
+        for c in missing:
+            body = c[:-1] if c[-1:] in (",", ".") else c
+            if not (body[1:] if body[:1] == " " else body).isalpha():
+                whole.append(c)
+                continue
+            if body != c:
+                tails[c] = body
+            if body == c or body not in missing and body not in self.known:
+                words.append(body)
+        words = list(dict.fromkeys(words))
+        tokenize, letters = self.model.tokenize, self.letters
+        self._store(words, [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words])
+        marks = [c for c in (",", ".") if c not in self.known]
+        whole = list({*whole, *marks})
+        self._store(whole, self._library(whole))
+        flat, first, size, known = self.flat, self.first, self.size, self.known
+        ids = []
+        for c, body in tails.items():
+            k = known[body]
+            ids.append([*flat[first[k] : first[k] + size[k]].tolist(), int(flat[first[known[c[-1]]]])])
+        self._store(list(tails), ids)
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; ids of each text)."""
         if len(self.known) > self.LIMIT:
-            self.known.clear()
-            self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self._forget()
         whole = [i for i, t in enumerate(texts) if self._is_odd(t) or "\0" in t or any(s in t for s in self.specials)]
         apart = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
         plain = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for i, t in enumerate(texts) if i not in apart]
@@ -184,15 +244,9 @@ class Encoder:
         chunks = list(chain.from_iterable(plain))
         codes = np.fromiter(map(self.known.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
         new = np.flatnonzero(codes < 0)
+        self.again[codes[codes >= 0] if len(new) else codes] = True
         if len(new):
-            missing = list({chunks[i] for i in new})
-            ids = self._library(missing)
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            n, at = len(self.known), len(self.flat)
-            self.known.update(zip(missing, range(n, n + len(missing)), strict=True))
-            self.flat = np.concatenate((self.flat, np.array([y for x in ids for y in x], dtype=np.uint32)))
-            self.first = np.concatenate((self.first, at + np.cumsum(sizes) - sizes))
-            self.size = np.concatenate((self.size, sizes))
+            self._learn({chunks[i] for i in new})
             codes[new] = [self.known[chunks[i]] for i in new]
         per = self.size[codes]
         places = np.repeat(self.first[codes] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
@@ -216,7 +270,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, shard_chars: int = 4_000_000) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, shard_chars: int = 1_500_000) -> DataFrame:
     """docs (doc_id, text) -> the written table part, shard, doc_ids, shard_bytes; parts and shards ascend with doc_id."""
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
     kind = docs.schema["doc_id"].dataType
