@@ -61,7 +61,7 @@ class Hashed:
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * np.cumprod(steps)[:n], dtype=np.uint64)))
 
     def stretch(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.back[start] + np.uint64(salt) * np.uint64(0xA0761D6478BD642F))
+        return _mixed((self.sums[end] - self.sums[start]) * self.back[start] + np.uint64(salt * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
 
 
 def anchors(h: Hashed, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
