@@ -42,7 +42,7 @@ def _sample(term: Column, log_weight: Column, k: int) -> Column:
 
 def sketches(texts: DataFrame, keys: list[str], samples: int) -> DataFrame:
     """texts (keys, text) -> keys, fingerprint. Where keys are how the rows are partitioned, nothing is shuffled."""
-    terms = texts.select(*keys, F.explode(F.split("text", BLANKS)).alias("word")).select(*keys, F.xxhash64("word").alias("term"), (F.col("word") != "").cast("int").alias("real"))
+    terms = texts.select(*keys, F.explode_outer(F.split("text", BLANKS)).alias("word")).select(*keys, F.xxhash64("word").alias("term"), (F.col("word") != "").cast("int").alias("real"))
     counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.max("real").alias("real"))
     weighted = counted.select(*keys, F.col("term"), F.when(F.col("real") == 1, F.log1p(F.log(F.col("n").cast("double")))).otherwise(F.lit(-40.0)).alias("lw"))
     least = weighted.groupBy(*keys).agg(*(F.min(_sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples)))

@@ -127,6 +127,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rest = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["to"] - r["from"])
     last = F.when(rest == F.col("size"), F.col("text")).when(rest > 0, some)
     texts = F.concat(F.array_repeat("text", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("int")), F.when(last.isNotNull(), F.array(last)).otherwise(F.array().cast("array<string>")))
-    mixed = rows.join(mix(rows), "row").withColumn("_one", F.explode(texts))
+    mixed = rows.join(mix(rows), "row").withColumn("_one", F.explode_outer(texts)).where("_one is not null")
     changed = {"text": F.col("_one")} | ({"n_chars": F.length("_one").cast("long")} if "n_chars" in docs.columns else {})
     return mixed.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontaminate
 from .fingerprint import op4_fingerprint
 from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .language_id import op1_language_id
@@ -10,6 +11,7 @@ from .personal_data import op2_personal_data
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .token_count import op3_token_count
 from .token_file import op9_token_file
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_personal_data, op3_token_count, op4_fingerprint, op5_jaccard_join, op6_substring_dedup, op9_token_file, op10_mixture)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_personal_data, op3_token_count, op4_fingerprint, op5_jaccard_join, op6_substring_dedup, op7_decontaminate, op8_toxicity, op9_token_file, op10_mixture)}
 ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op6_substring_dedup": OP6_SQL}
