@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemark.llm.common import documents, written
+from sievemark.llm.decontaminate import without_contaminated
+from sievemark.llm.jaccard_join import keep_one_of_each
 from sievemark.llm.language_id import keep_identified
+from sievemark.llm.mixture import mixed_documents
 from sievemark.llm.token_file import encode_and_read
 
 
@@ -14,12 +17,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_identified(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (five-word shingles, Jaccard 0.8 or more): the smallest doc_id."""
+    return keep_one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often, and as much of them, as their source's target takes."""
+    return mixed_documents(docs)
+
+
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in Simple-8b shards, read back: doc_id, start, n_tokens, ids_crc32."""
     return encode_and_read(docs)
 
 
-STAGES = [("language_id", language_id), ("token_file", token_file)]
+STAGES = [("language_id", language_id), ("jaccard_join", jaccard_join), ("decontaminate", decontaminate), ("mixture", mixture), ("token_file", token_file)]
+#: Naive Bayes and the mix's permutations have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
