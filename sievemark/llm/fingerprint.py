@@ -40,14 +40,30 @@ def _sample(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(place, 32).bitwiseOR(F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit(_LOW32)))
 
 
+#: Hexadecimal digits of a digest that one long carries, and how many longs a digest takes.
+_DIGITS, _PIECES = 13, 5
+
+
 def sketches(texts: DataFrame, keys: list[str], samples: int) -> DataFrame:
-    """texts (keys, text) -> keys, fingerprint. Where keys are how the rows are partitioned, nothing is shuffled."""
-    terms = texts.select(*keys, F.explode_outer(F.split("text", BLANKS)).alias("word")).select(*keys, F.xxhash64("word").alias("term"), (F.col("word") != "").cast("int").alias("real"))
-    counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.max("real").alias("real"))
-    weighted = counted.select(*keys, F.col("term"), F.when(F.col("real") == 1, F.log1p(F.log(F.col("n").cast("double")))).otherwise(F.lit(-40.0)).alias("lw"))
-    least = weighted.groupBy(*keys).agg(*(F.min(_sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples)))
+    """texts (keys, version, text, sha) -> keys, version, fingerprint, sha.
+
+    Where rows are partitioned by keys, nothing is shuffled. A digest travels behind the words, as rows of its own."""
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(_PIECES - 1)), lambda j: F.substring(F.col("sha"), j * _DIGITS + 1, F.lit(_DIGITS)))
+    parts = texts.select(*keys, "version", F.split("text", BLANKS).alias("words"), F.when(F.col("sha").isNull(), F.array().cast("array<string>")).otherwise(pieces).alias("pieces"))
+    rows = parts.select(*keys, "version", F.size("words").alias("n"), F.posexplode_outer(F.concat("words", "pieces")).alias("pos", "word"))
+    piece = F.col("pos") >= F.col("n")
+    term = F.when(piece, F.conv("word", 16, 10).cast("long")).otherwise(F.xxhash64("word"))
+    rows = rows.select(*keys, "version", F.when(piece, F.col("pos") - F.col("n") + 1).otherwise(0).alias("piece"), term.alias("term"), (F.col("word") != "").cast("int").alias("real"))
+    counted = rows.groupBy(*keys, "version", "piece", "term").agg(F.count("*").alias("n"), F.max("real").alias("real"))
+    weight = F.when(F.col("real") == 1, F.log1p(F.log(F.col("n").cast("double")))).otherwise(F.lit(-40.0))
+    weighted = counted.select(*keys, "version", "piece", "term", weight.alias("lw"))
+    least = [F.min(F.when(F.col("piece") == 0, _sample(F.col("term"), F.col("lw"), k))).alias(f"s{k}") for k in range(samples)]
+    digest = [F.max(F.when(F.col("piece") == j + 1, F.col("term"))).alias(f"d{j}") for j in range(_PIECES)]
+    grouped = weighted.groupBy(*keys, "version").agg(*least, *digest)
     digits = F.concat(*(F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)))), 4, "0") for k in range(samples)))
-    return least.select(*keys, digits.alias("fingerprint"))
+    widths = [min(_DIGITS, 64 - j * _DIGITS) for j in range(_PIECES)]
+    sha = F.concat(*(F.lpad(F.lower(F.hex(f"d{j}")), w, "0") for j, w in enumerate(widths)))
+    return grouped.select(*keys, "version", digits.alias("fingerprint"), sha.alias("sha"))
 
 
 def likeness(a: Column, b: Column, samples: int) -> Column:
@@ -69,38 +85,40 @@ def _successors(ids: DataFrame) -> DataFrame:
     all_parts = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("part", F.coalesce(F.lead("first").over(parts), F.first("first").over(all_parts)).alias("after"), F.coalesce(F.lag("last").over(parts), F.last("last").over(all_parts)).alias("before"))
     both = inner.join(F.broadcast(ends), "part")
-    return both.select(*_KEY, "m", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
+    return both.select(*_KEY, "n_chars", "m", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
 
 
 def fingerprint_documents(docs: DataFrame, samples: int = 32, edited_share: float = 0.25) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # a null doc_id is a key like others: it is told apart by the hash
+    h = F.xxhash64("text", F.col("doc_id").isNull())
+    filler = F.lit("") if docs.schema["doc_id"].dataType.simpleString() == "string" else F.lit(0)
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", h)
     order = written(_successors(base.select("doc_id", "h", F.length("text").alias("n_chars"))), "successors")
+    key = lambda row, i, z: (F.coalesce(row["doc_id"], filler).alias(i), row["h"].alias(z))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = lambda df, *key: df.repartition(parts, *key)
-    # nulls in doc_id are keys like others: joins compare a filled id and a flag
-    fill = lambda c: F.struct(F.coalesce(c["doc_id"], F.lit(0)).alias("i"), c["doc_id"].isNull().alias("z"), c["h"].alias("h"))
-    own = F.struct("doc_id", "h")
-    rows = place(base.select("doc_id", "text", fill(own).alias("key")), "key")
-    facts = order.select(fill(own).alias("key"), "m", "next", "prev")
-    known = rows.join(facts.hint("merge"), "key").withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-    sent = known.where("copy = 1").select(fill(F.col("prev")).alias("key"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev.n_chars") * edited_share).cast("int")).alias("begin"))
-    met = known.join(place(sent, "key").hint("merge"), "key")
+    # this exchange is the texts' only one; both uses below read it
+    rows = base.select(*key(F.struct("doc_id", "h"), "i", "z"), "text").repartition(parts, "i", "z").dropDuplicates(["i", "z"])
+    facts = order.select(*key(F.struct("doc_id", "h"), "i", "z"), "m", *key(F.col("prev"), "pi", "pz"), F.col("prev.n_chars").alias("pn"))
+    sent = rows.join(facts.select("i", "z", "pi", "pz", "pn").hint("merge"), ["i", "z"]).select(F.col("pi").alias("i"), F.col("pz").alias("z"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("pn") * edited_share).cast("int")).alias("begin"))
+    met = rows.join(facts.select("i", "z", "m").hint("merge"), ["i", "z"]).join(sent.repartition(parts, "i", "z").hint("merge"), ["i", "z"])
     cut = F.floor(F.length("text") * edited_share).cast("int")
-    # of m repeated rows the first m - 1 are followed by a copy of themselves
-    follows = F.when(F.col("copy") < F.col("m"), F.substring(F.col("text"), F.lit(1), cut)).otherwise(F.col("begin"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), follows)
-    full = met.select("key", "doc_id", "copy", "m", "next", "text", edited.alias("edited"))
-    version = F.when(F.col("copy") < F.col("m"), F.lit(2)).otherwise(F.lit(1))
-    slim = full.select("key", "doc_id", "copy", "m", fill(F.col("next")).alias("next"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    both = full.where("copy = 1 or copy = m").select("key", F.explode(F.array(F.struct(F.when(F.col("copy") == 1, F.lit(0)).alias("version"), F.col("text").alias("text")), F.struct(version.alias("version"), F.col("edited").alias("text")))).alias("v")).select("key", "v.*").where("version is not null")
-    marks = written(sketches(both, ["key", "version"], samples), "fingerprints")
-    marks0 = marks.where("version = 0").select("key", "fingerprint")
-    out = slim.withColumn("version", version).join(marks0, "key").join(marks.select("key", "version", F.col("fingerprint").alias("edited_fingerprint")), ["key", "version"])
-    out = out.join(marks0.select(F.col("key").alias("next"), F.col("fingerprint").alias("next_fingerprint")), "next")
+    kept = F.substring(F.col("text"), F.lit(1), F.length("text") - cut)
+    # of m repeated rows the first m - 1 are followed by a copy of themselves (version 2), the last by the next text (1)
+    edited = met.select("i", "z", "text", "m", F.concat(kept, F.col("begin")).alias("edited"), F.concat(kept, F.substring(F.col("text"), F.lit(1), cut)).alias("own"))
+    version = lambda v, text, sha: F.struct(F.lit(v).alias("version"), text.alias("text"), sha.alias("sha"))
+    none = F.lit(None).cast("string")
+    three = F.array(version(0, F.col("text"), none), version(1, F.col("edited"), F.sha2("edited", 256)), F.when(F.col("m") > 1, version(2, F.col("own"), F.sha2("own", 256))))
+    texts = edited.select("i", "z", F.explode_outer(three).alias("v")).select("i", "z", "v.*").where("version is not null")
+    marks = written(sketches(texts, ["i", "z"], samples), "fingerprints")
+    own = marks.where("version = 0")
+    out = order.select("doc_id", *key(F.struct("doc_id", "h"), "i", "z"), "n_chars", "m", *key(F.col("next"), "ni", "nz"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("copy"))
+    out = out.withColumn("version", F.when(F.col("copy") < F.col("m"), 2).otherwise(1))
+    out = out.join(own.select("i", "z", "fingerprint"), ["i", "z"]).join(marks.select("i", "z", "version", F.col("fingerprint").alias("edited_fingerprint"), F.col("sha").alias("edited_sha256")), ["i", "z", "version"])
+    out = out.join(own.select(F.col("i").alias("ni"), F.col("z").alias("nz"), F.col("fingerprint").alias("next_fingerprint")), ["ni", "nz"])
     near_next = F.when(F.col("copy") < F.col("m"), F.lit(1.0)).otherwise(likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), near_next.alias("near_next"))
+    return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), near_next.alias("near_next"))
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
