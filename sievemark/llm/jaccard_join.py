@@ -9,8 +9,8 @@ documents are counted, never paired. For each node a MinHash signature is kept;
    misses all runs with a probability of at most 1 - recall.
 2. Brute force: within a small bucket all signatures are compared; what may reach the threshold (six standard errors below
    it) is linked by a spanning forest. Larger buckets left at the last depth are compared in blocks of `limit`.
-3. The forest's components are candidate groups. In each, the full shingle sets are compared exactly, in blocks of at most
-   `limit` nodes; a task gives each node's number of linked documents and a forest of the true links, never the pairs.
+3. The forest's components are candidate groups. In each, the full shingle sets are compared exactly, in blocks of about
+   `block` nodes or `block_shingles` shingles; a task gives each node's number of linked documents and a forest of the true links, never the pairs.
 4. Classes are the components of the true links.
 
 Edge cases: null texts and texts without words have no set and link to nothing; repeated rows are copies like others; an
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, documents, written
@@ -145,9 +145,8 @@ def _forest(m: int, near) -> list[tuple[int, int]]:
     return edges
 
 
-def _blocked(df: DataFrame, key: str, size: str, limit: int) -> DataFrame:
-    """Deal a group's rows into blocks of about limit and each row to all pairs of blocks with its own: adds i, j, mine."""
-    blocks = F.ceil(F.col(size) / limit).cast("int")
+def _blocked(df: DataFrame, blocks: Column) -> DataFrame:
+    """Deal a group's rows into blocks and each row to all pairs of blocks with its own: adds i, j, mine."""
     own = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
     with_own = df.withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return with_own.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other")
@@ -156,7 +155,7 @@ def _blocked(df: DataFrame, key: str, size: str, limit: int) -> DataFrame:
 def _candidates(buckets: DataFrame, nodes: DataFrame, limit: int, threshold: float) -> DataFrame:
     """Spanning forests (a, b) of the nodes in a bucket whose signatures may reach the threshold."""
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / PLACES)
-    dealt = _blocked(buckets, "path", "size", limit).join(nodes, "node").select("path", "i", "j", "node", "n", "sig")
+    dealt = _blocked(buckets, F.ceil(F.col("size") / limit).cast("int")).join(nodes, "node").select("path", "i", "j", "node", "n", "sig")
     dealt = dealt.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,19 +240,19 @@ def _exact(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """text with passing columns component, size, node, copies -> the same with the shingle set as bytes."""
+    """text with passing columns component, blocks, node, copies -> the same with the shingle set as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in _batches(b.column(0).to_pylist()):
                 flat, sizes = shingle_sets(texts, words)
                 cuts = np.concatenate(([0], np.cumsum(sizes)))
                 sets = [flat[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(texts)) for k in (1, 2, 3, 4)), pa.array(sets, pa.binary())], ["component", "size", "node", "copies", "set"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(texts)) for k in (1, 2, 3, 4)), pa.array(sets, pa.binary())], ["component", "blocks", "node", "copies", "set"])
 
-    return docs.select("text", "component", "size", "node", "copies").mapInArrow(run, "component binary, size long, node binary, copies long, set binary")
+    return docs.select("text", "component", "blocks", "node", "copies").mapInArrow(run, "component binary, blocks int, node binary, copies long, set binary")
 
 
-def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.99999, limit: int = 512, depth: int = 3) -> DataFrame:
+def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.99999, limit: int = 2048, depth: int = 3, block: int = 512, block_shingles: int = 300_000) -> DataFrame:
     """docs (doc_id, text) -> doc_id, class_id, n_links: documents (copies included) with a Jaccard of percent / 100 or more."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     threshold = percent / 100
@@ -263,13 +262,15 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, recall: flo
     buckets = written(_buckets(nodes.select("node", "sig"), runs_for(recall, threshold, depth), depth, limit), "buckets")
     edges = _candidates(buckets, nodes.select("node", "n", "sig"), limit, threshold)
     groups = connected_components(edges)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    grouped = written(groups.join(sizes, "component").join(nodes.select("node", "rep", "copies"), "node"), "groups")
+    grouped = groups.join(nodes.select("node", "rep", "copies", "n"), "node")
+    # blocks of bounded memory: not too many sets, nor too large ones
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    grouped = written(grouped.join(grouped.groupBy("component").agg(blocks.alias("blocks")), "component"), "groups")
     # a node's set is read from the text of its first document (from each of its rows, where they are repeated)
-    first = grouped.select("node", "component", "size", "copies", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"))
+    first = grouped.select("node", "component", "blocks", "copies", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"))
     texts = keyed.join(first, keyed["doc_id"].eqNullSafe(first["d"]) & (keyed["th"] == first["t"]))
     sets = _full_sets(texts, words)
-    dealt = _blocked(sets, "component", "size", limit).select("component", "i", "j", F.ceil(F.col("size") / limit).cast("int").alias("blocks"), "node", "copies", "mine", "set")
+    dealt = _blocked(sets, F.col("blocks")).select("component", "i", "j", "blocks", "node", "copies", "mine", "set")
     exact = written(_exact(dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j"), percent), "exact")
     counted = exact.where("other is null").groupBy("node").agg(F.sum("links").alias("links"), F.max("label").alias("label"))
     wide = connected_components(exact.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
