@@ -268,7 +268,7 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, recall: flo
     grouped = written(grouped.join(grouped.groupBy("component").agg(blocks.alias("blocks")), "component"), "groups")
     # a node's set is read from the text of its first document (from each of its rows, where they are repeated)
     first = grouped.select("node", "component", "blocks", "copies", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"))
-    texts = keyed.join(first, keyed["doc_id"].eqNullSafe(first["d"]) & (keyed["th"] == first["t"]))
+    texts = keyed.join(first.hint("merge"), keyed["doc_id"].eqNullSafe(first["d"]) & (keyed["th"] == first["t"]))
     sets = _full_sets(texts, words)
     dealt = _blocked(sets, F.col("blocks")).select("component", "i", "j", "blocks", "node", "copies", "mine", "set")
     exact = written(_exact(dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j"), percent), "exact")
