@@ -34,13 +34,10 @@ def bigram_entropy(df: DataFrame, mode: str = "word") -> DataFrame:
 
 def phonetic_entropy(df: DataFrame, context: int = 1, smoothing: float = 0.01) -> DataFrame:
     """Conditional entropy of a phoneme behind `context` others, smoothed over the whole inventory in closed form."""
-    s = T.letters(T.text_of())
-    starts = F.when(F.length(s) > context, F.sequence(F.lit(1), F.length(s) - context))
-    grams = F.transform(starts, lambda i: F.substring(s, i, F.lit(context + 1)))
-    rows = df.select(ID, s.alias("s"))
-    s = F.col("s")
-    grams = F.transform(F.when(F.length(s) > context, F.sequence(F.lit(1), F.length(s) - context)), lambda i: F.substring(s, i, F.lit(context + 1)))
-    counts = rows.select(ID, (F.length("s") - context).alias("n"), F.explode_outer(grams).alias("g")).where("g is not null").groupBy(ID, "n", "g").agg(F.count("*").alias("c"))
+    rows = df.select(ID, T.nonempty(F.split(T.letters(T.text_of()), "")).alias("s"))
+    starts = F.when(F.size("s") > context, F.sequence(F.lit(1), F.size("s") - context))
+    grams = rows.select(ID, (F.size("s") - context).alias("n"), F.transform(starts, lambda i: F.array_join(F.slice("s", i, F.lit(context + 1)), "")).alias("grams"))
+    counts = grams.select(ID, "n", F.explode_outer("grams").alias("g")).where("g is not null").groupBy(ID, "n", "g").agg(F.count("*").alias("c"))
     q = F.col("c") + smoothing
     by = counts.groupBy(ID, "n", F.substring("g", 1, context).alias("ctx")).agg(F.sum("c").alias("nc"), F.count("*").alias("k"), F.sum(q * F.log2(q)).alias("s1"))
     d = F.col("nc") + smoothing * N_PHONEMES

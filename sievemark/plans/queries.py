@@ -44,7 +44,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def r6(df: DataFrame) -> DataFrame:
     """Doubles to six decimals: sums of floating numbers depend on their order."""
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def padded(base: DataFrame, feature: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def tokenize_subword(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.tokenize(T.text_of("text"), "subword"), "|").alias("tokens"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z ]', '', 'g'), ''), lambda c: c <> ''), lambda c: element_at(map([" + ", ".join(f"'{k}'" for k in LETTER_PHONEMES) + "], [" + ", ".join(f"'{v}'" for v in LETTER_PHONEMES.values()) + "]), c)), ' ') AS phonemes FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z ]', '', 'g'), ''), lambda c: c <> ''), lambda c: (map([" + ", ".join(f"'{k}'" for k in LETTER_PHONEMES) + "], [" + ", ".join(f"'{v}'" for v in LETTER_PHONEMES.values()) + "]))[c]), ' ') AS phonemes FROM documents")
 def g2p(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.phonemes(T.text_of("text")), " ").alias("phonemes"))
 
@@ -212,7 +212,7 @@ def type_token_ratio(spark, sf):
     return padded(d, X.unigram_entropy(d).select("sample_id", "diversity"))
 
 
-@query(W + UNI + ", " + BI + " SELECT sample_id, round(coalesce(bigram, 0), 6) AS bigram FROM d LEFT JOIN bi USING (sample_id)")
+@query(W + UNI + ", " + BI + " SELECT sample_id, round(coalesce(bigram, 0), 6) + 0.0::DOUBLE AS bigram FROM d LEFT JOIN bi USING (sample_id)")
 def bigram_entropy(spark, sf):
     d = docs(spark, sf)
     return padded(d, X.bigram_entropy(d))
@@ -231,7 +231,7 @@ for _k, _name in ((1, "phonetic_entropy"), (2, "phonetic_entropy_k2")):
 
 
 @query(W + D + r""", s AS (SELECT sample_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z ]', '', 'g'), 'cqx', 'kkk') AS s FROM d),
-g AS (SELECT sample_id, length(s) AS n, unnest(string_split(s, '')) AS x FROM s WHERE s <> ''), c AS (SELECT sample_id, n, x, count(*) / n + 1e-10 AS q FROM g GROUP BY ALL),
+g AS (SELECT sample_id, length(s) AS n, unnest(string_split(s, '')) AS x FROM s WHERE s <> ''), c AS (SELECT sample_id, count(*) / n + 1e-10 AS q FROM g GROUP BY sample_id, n, x),
 h AS (SELECT sample_id, -(sum(q / (1 + 41e-10) * log2(q / (1 + 41e-10))) + (41 - count(*)) * 1e-10 / (1 + 41e-10) * log2(1e-10 / (1 + 41e-10))) AS h FROM c GROUP BY sample_id)
 SELECT sample_id, round(coalesce(h, 0), 6) AS phoneme_unigram FROM d LEFT JOIN h USING (sample_id)""")
 def phoneme_unigram(spark, sf):
