@@ -100,7 +100,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     blocks = slots.groupBy("source_no", "block").agg(F.count_if("whole").alias("times"), F.sum(F.when(~F.col("whole"), F.col("take"))).alias("part"))
     low = F.greatest(F.col("start"), F.col("block") * block_words)
     high = F.least(F.col("end"), (F.col("block") + 1) * block_words)
-    joined = pieces.join(blocks, ["source_no", "block"]).join(facts.select("source_no", "copies"), "source_no")
+    joined = pieces.join(blocks.hint("merge"), ["source_no", "block"]).join(facts.select("source_no", "copies"), "source_no")
     cut = F.when(F.col("times") > F.col("copies"), high).otherwise(F.greatest(low, F.least(high, F.col("block") * block_words + F.coalesce("part", F.lit(0)))))
     taken = joined.select("row", F.struct((low - F.col("start")).alias("from"), (cut - F.col("start")).alias("to")).alias("range"), ((high - low) * F.least("times", "copies") + cut - low).alias("words"))
     per_row = taken.groupBy("row").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.when(F.col("range.to") > F.col("range.from"), F.col("range")))).alias("ranges"))
