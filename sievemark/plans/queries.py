@@ -510,7 +510,7 @@ _draw = lambda k: f"('0x' || substr(md5(sample_id || ':{k}:42'), 1, 8))::BIGINT
 DEATH = RSC + ", de AS (SELECT *, CASE " + " ".join(f"WHEN NOT (score > {t!r} OR {_draw(k)} < 0.05) THEN {k}" for k, t in enumerate(_T[:-1])) + " ELSE 10 END AS death FROM rs), k AS (SELECT coalesce(min(r), 10) AS k FROM (SELECT r, (SELECT count(*) FROM de WHERE death >= r) AS n, (SELECT count(*) FROM de) AS t FROM range(11) x(r)) WHERE n < 20 OR n / t < 0.1 OR r >= 10)"
 
 
-@query("SELECT unnest(range(11))::INT AS round, round(unnest([" + ", ".join(map(repr, P.schedule(ProgressiveConfig()))) + "]), 9) AS threshold")
+@query("SELECT unnest(range(11))::INT AS round, round(unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in P.schedule(ProgressiveConfig())) + "]), 9) AS threshold")
 def threshold_schedule(spark, sf):
     return spark.createDataFrame([(i, round(t, 9)) for i, t in enumerate(P.schedule(ProgressiveConfig()))], "round int, threshold double")
 
@@ -530,7 +530,7 @@ def progressive_filter(spark, sf):
     return P.filter_rounds(rounded(spark, sf), CONFIG)[0].select("sample_id", "score")
 
 
-@query(W + DEATH + ", t AS (SELECT unnest(range(10)) AS round, unnest([" + ", ".join(map(repr, _T[:-1])) + "]) AS threshold) SELECT round::INT AS round, round(threshold, 6) AS threshold, (SELECT count(*) FROM de WHERE death >= round) AS input_size, (SELECT count(*) FROM de WHERE death > round) AS output_size, round((SELECT avg(score) FROM de WHERE death > round), 6) AS mean_score FROM t, k WHERE round < k")
+@query(W + DEATH + ", t AS (SELECT unnest(range(10)) AS round, unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in _T[:-1]) + "]) AS threshold) SELECT round::INT AS round, round(threshold, 6) AS threshold, (SELECT count(*) FROM de WHERE death >= round) AS input_size, (SELECT count(*) FROM de WHERE death > round) AS output_size, round((SELECT avg(score) FROM de WHERE death > round), 6) AS mean_score FROM t, k WHERE round < k")
 def round_history(spark, sf):
     h = P.filter_rounds(rounded(spark, sf), CONFIG)[1].history
     return spark.createDataFrame([(x["round"], round(x["threshold"], 6), x["input_size"], x["output_size"], round(x["mean_score"], 6)) for x in h], "round int, threshold double, input_size long, output_size long, mean_score double")
