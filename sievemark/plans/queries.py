@@ -60,19 +60,19 @@ SPACED = r"list_filter(string_split_regex(lower(coalesce({}, '')), '\s+'), lambd
 D = "d AS (SELECT doc_id::VARCHAR AS sample_id, doc_id AS sample_ord, text, lang AS language, source FROM documents)"
 UNI = f"""{D}, w AS (SELECT sample_id, {WORDS} AS ws FROM d), t AS (SELECT sample_id, len(ws) AS n, unnest(ws) AS x FROM w),
 c AS (SELECT sample_id, n, x, count(*) AS c FROM t GROUP BY ALL),
-uni AS (SELECT sample_id, -sum((c / n + 1e-10) / v * log2((c / n + 1e-10) / v)) AS unigram, count(*) / any_value(n) AS diversity
+uni AS MATERIALIZED (SELECT sample_id, -sum((c / n + 1e-10) / v * log2((c / n + 1e-10) / v)) AS unigram, count(*) / any_value(n) AS diversity
   FROM (SELECT *, sum(c / n + 1e-10) OVER (PARTITION BY sample_id) AS v FROM c) GROUP BY sample_id)"""
 BI = """p AS (SELECT sample_id, len(ws) - 1 AS n, unnest(list_zip(ws[1:len(ws) - 1], ws[2:len(ws)])) AS z FROM w WHERE len(ws) > 1),
 pc AS (SELECT sample_id, n, z[1] AS a, z[2] AS b, count(*) AS c FROM p GROUP BY ALL),
-bi AS (SELECT sample_id, -sum(c / n * log2(c / c1 + 1e-10)) AS bigram FROM (SELECT *, sum(c) OVER (PARTITION BY sample_id, a) AS c1 FROM pc) GROUP BY sample_id)"""
+bi AS MATERIALIZED (SELECT sample_id, -sum(c / n * log2(c / c1 + 1e-10)) AS bigram FROM (SELECT *, sum(c) OVER (PARTITION BY sample_id, a) AS c1 FROM pc) GROUP BY sample_id)"""
 
 
 def phon_sql(k: int) -> str:
     return f"""s AS (SELECT sample_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z ]', '', 'g'), 'cqx', 'kkk') AS s FROM d),
 g AS (SELECT sample_id, length(s) - {k} AS n, s, unnest(range(1, length(s) - {k} + 1)) AS i FROM s WHERE length(s) > {k}),
 gc AS (SELECT sample_id, n, substr(s, i, {k}) AS x, substr(s, i + {k}, 1) AS f, count(*) AS c FROM g GROUP BY ALL),
-gx AS (SELECT sample_id, n, x, sum(c) AS nc, count(*) AS k, list(c) AS cs FROM gc GROUP BY ALL),
-phon AS (SELECT sample_id, sum(-nc / n * (list_sum(list_transform(cs, lambda c: (c + 0.01) / (nc + 0.41) * log2((c + 0.01) / (nc + 0.41)))) + (41 - k) * 0.01 / (nc + 0.41) * log2(0.01 / (nc + 0.41)))) AS phonetic FROM gx GROUP BY sample_id)"""
+gx AS MATERIALIZED (SELECT sample_id, n, x, sum(c) AS nc, count(*) AS k, list(c) AS cs FROM gc GROUP BY ALL),
+phon AS MATERIALIZED (SELECT sample_id, sum(-nc / n * (list_sum(list_transform(cs, lambda c: (c + 0.01) / (nc + 0.41) * log2((c + 0.01) / (nc + 0.41)))) + (41 - k) * 0.01 / (nc + 0.41) * log2(0.01 / (nc + 0.41)))) AS phonetic FROM gx GROUP BY sample_id)"""
 
 
 def _eps_entropy(items: list[str]) -> str:
@@ -82,15 +82,15 @@ def _eps_entropy(items: list[str]) -> str:
 
 
 _DOM = [" + ".join([*(f"contains(lower(text), '{k}')::INT" for k in ks), "0.1::DOUBLE"]) for ks in DOMAINS.values()]
-DOM = "ds AS (SELECT sample_id, text, " + ", ".join(f"{x} AS d{i}" for i, x in enumerate(_DOM)) + " FROM (SELECT sample_id, coalesce(text, '') AS text FROM d)), dn AS (SELECT sample_id, text, " + ", ".join(f"d{i} / ({' + '.join(f'd{j}' for j in range(13))}) AS d{i}" for i in range(13)) + " FROM ds), dom AS (SELECT sample_id, text, " + _eps_entropy([f"d{i}" for i in range(13)]) + " AS domain FROM dn)"
+DOM = "ds AS MATERIALIZED (SELECT sample_id, text, " + ", ".join(f"{x} AS d{i}" for i, x in enumerate(_DOM)) + " FROM (SELECT sample_id, coalesce(text, '') AS text FROM d)), dn AS MATERIALIZED (SELECT sample_id, text, " + ", ".join(f"d{i} / ({' + '.join(f'd{j}' for j in range(13))}) AS d{i}" for i in range(13)) + " FROM ds), dom AS (SELECT sample_id, text, " + _eps_entropy([f"d{i}" for i in range(13)]) + " AS domain FROM dn)"
 _MARK = [f"((length(low) - length(replace(low, '{m}', ''))) // {len(m)})" if " " in m else f"len(list_filter(ps, lambda x: x = '{m}'))" for m in MARKERS]
 DISC = r"dm AS (SELECT sample_id, lower(coalesce(text, '')) AS low, string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+') AS ps FROM d), dc AS (SELECT sample_id, list_filter([" + ", ".join(_MARK) + "], lambda x: x > 0) AS cs FROM dm), dt AS (SELECT sample_id, cs, list_sum(cs) AS t FROM dc), dp AS (SELECT sample_id, list_transform(cs, lambda c: c / t + 1e-10) AS q FROM dt), disc AS (SELECT sample_id, CASE WHEN len(q) = 0 THEN 0 ELSE -list_sum(list_transform(q, lambda x: x / list_sum(q) * log2(x / list_sum(q)))) END AS discourse FROM dp)"
 CTX = rf"ctx AS (SELECT sample_id, CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 0 ELSE domain + 0.3 * discourse END AS contextual FROM dom JOIN disc USING (sample_id))"
 COMP = f"""{UNI}, {BI}, {phon_sql(1)}, {DOM}, {DISC}, {CTX},
-comp AS (SELECT sample_id, sample_ord, language, coalesce(unigram, 0) + 0.5 * coalesce(bigram, 0) AS linguistic, coalesce(phonetic, 0) AS phonetic, contextual
+comp AS MATERIALIZED (SELECT sample_id, sample_ord, language, coalesce(unigram, 0) + 0.5 * coalesce(bigram, 0) AS linguistic, coalesce(phonetic, 0) AS phonetic, contextual
   FROM d LEFT JOIN uni USING (sample_id) LEFT JOIN bi USING (sample_id) LEFT JOIN phon USING (sample_id) LEFT JOIN ctx USING (sample_id))"""
 _mm = lambda c: f"CASE WHEN max({c}) OVER () - min({c}) OVER () < 1e-10 THEN 0.5 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END"
-SCORE = f"{COMP}, norm AS (SELECT *, {_mm('linguistic')} AS ln, {_mm('phonetic')} AS pn, {_mm('contextual')} AS cn FROM comp), sc AS (SELECT *, 0.20 * pn + 0.25 * ln + 0.15 * cn AS score FROM norm)"
+SCORE = f"{COMP}, norm AS MATERIALIZED (SELECT *, {_mm('linguistic')} AS ln, {_mm('phonetic')} AS pn, {_mm('contextual')} AS cn FROM comp), sc AS (SELECT *, 0.20 * pn + 0.25 * ln + 0.15 * cn AS score FROM norm)"
 W = "WITH "
 
 
@@ -108,7 +108,7 @@ def rounded(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).select("sample_id", "sample_ord", "language", F.round("score", 9).alias("score"))
 
 
-RSC = f"{SCORE}, rs AS (SELECT sample_id, sample_ord, language, round(score, 9) AS score FROM sc)"
+RSC = f"{SCORE}, rs AS MATERIALIZED (SELECT sample_id, sample_ord, language, round(score, 9) AS score FROM sc)"
 
 
 # --- sources and projections ---------------------------------------------------------------------
@@ -443,7 +443,7 @@ def _features(spark, sf):
 
 
 MI = D + f""", w AS (SELECT sample_id, length(coalesce(text, '')) AS n, {SPACED.format('text')} AS ws FROM d),
-f AS (SELECT sample_id, least(len(ws) / 100.0::DOUBLE, 1) AS words, CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws) ELSE 0 END AS "unique",
+f AS MATERIALIZED (SELECT sample_id, least(len(ws) / 100.0::DOUBLE, 1) AS words, CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws) ELSE 0 END AS "unique",
   CASE WHEN len(ws) > 0 THEN list_sum(list_transform(ws, lambda x: length(x))) / len(ws) / 10.0::DOUBLE ELSE 0 END AS mean_length, least(n / 500.0::DOUBLE, 1) AS chars FROM w)"""
 _EDGES = "[i / 32 for i in range(33)]"
 
@@ -452,7 +452,7 @@ def _mi_sql(distinct_lookup: bool) -> str:
     raw = ", ".join(f'quantile_cont("{n}", {_EDGES}) AS r_{n}' for n in _NAMES)
     uniq = ", ".join(f"list_sort(list_distinct(r_{n})) AS u_{n}" for n in _NAMES)
     cell = lambda p: "((" + " * 32 + ".join(f'least(len(list_filter({p}_{n}[2:len({p}_{n}) - 1], lambda x: x <= "{n}")), 31){")" if i in (1, 2) else ""}' for i, n in enumerate(_NAMES))
-    return f"{MI}, r AS (SELECT {raw} FROM f), e AS (SELECT *, {uniq} FROM r), k AS (SELECT sample_id, {cell('u')} AS fit, {cell('u' if distinct_lookup else 'r')} AS look FROM f, e), n AS (SELECT fit AS cell, count(*) AS cnt FROM k GROUP BY 1)"
+    return f"{MI}, r AS (SELECT {raw} FROM f), e AS MATERIALIZED (SELECT *, {uniq} FROM r), k AS MATERIALIZED (SELECT sample_id, {cell('u')} AS fit, {cell('u' if distinct_lookup else 'r')} AS look FROM f, e), n AS (SELECT fit AS cell, count(*) AS cnt FROM k GROUP BY 1)"
 
 
 @query(W + MI + ' SELECT sample_id, round(words, 6) AS words, round("unique", 6) AS "unique", round(mean_length, 6) AS mean_length, round(chars, 6) AS chars FROM f')
@@ -507,7 +507,7 @@ def acoustic_features(spark, sf):
 CONFIG = ProgressiveConfig(initial_threshold=0.2, min_samples=20, max_rounds=10)
 _T = P.schedule(CONFIG)
 _draw = lambda k: f"('0x' || substr(md5(sample_id || ':{k}:42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-DEATH = RSC + ", de AS (SELECT *, CASE " + " ".join(f"WHEN NOT (score > {t!r} OR {_draw(k)} < 0.05) THEN {k}" for k, t in enumerate(_T[:-1])) + " ELSE 10 END AS death FROM rs), k AS (SELECT coalesce(min(r), 10) AS k FROM (SELECT r, (SELECT count(*) FROM de WHERE death >= r) AS n, (SELECT count(*) FROM de) AS t FROM range(11) x(r)) WHERE n < 20 OR n / t < 0.1 OR r >= 10)"
+DEATH = RSC + ", de AS MATERIALIZED (SELECT *, CASE " + " ".join(f"WHEN NOT (score > {t!r} OR {_draw(k)} < 0.05) THEN {k}" for k, t in enumerate(_T[:-1])) + " ELSE 10 END AS death FROM rs), k AS (SELECT coalesce(min(r), 10) AS k FROM (SELECT r, (SELECT count(*) FROM de WHERE death >= r) AS n, (SELECT count(*) FROM de) AS t FROM range(11) x(r)) WHERE n < 20 OR n / t < 0.1 OR r >= 10)"
 
 
 @query("SELECT unnest(range(11))::INT AS round, round(unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in P.schedule(ProgressiveConfig())) + "]), 9) AS threshold")
@@ -556,7 +556,7 @@ def _pairs(spark, sf):
 
 PAIRS = D + r""", r0 AS (SELECT sample_id, language, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM d),
 pr AS (SELECT sample_id, language, list_transform(ws, lambda x: lower(x)) AS r, list_transform(list_filter(ws, lambda x, i: (i - 1) % 5 <> 4), lambda x: lower(x)) AS p FROM r0),
-ms AS (SELECT *, list_filter(list_distinct(r), lambda x: NOT list_contains(p, x)) AS miss FROM pr)"""
+ms AS MATERIALIZED (SELECT *, list_filter(list_distinct(r), lambda x: NOT list_contains(p, x)) AS miss FROM pr)"""
 ERR = ", eb AS (SELECT b AS bigram, count(*) AS cnt FROM (SELECT miss, unnest(list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1])) AS b FROM ms WHERE len(r) > 1) WHERE list_contains(miss, string_split(b, ' ')[1]) OR list_contains(miss, string_split(b, ' ')[2]) GROUP BY 1)"
 LER = ", lr AS (SELECT language, avg(len(miss) / greatest(len(r), 1)) AS wer FROM ms WHERE language IS NOT NULL GROUP BY 1)"
 GRAMS = ", gr AS (SELECT sample_id, unnest(list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1])) AS bigram FROM pr WHERE len(r) > 1)"
