@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EPSILON, N_PHONEMES, LinguisticConfig
 from ..functions import text as T
-from ..functions.entropy import entropy_from_counts, entropy_of
+from ..functions.entropy import entropy_from_counts
 
 ID = "sample_id"
 
@@ -55,19 +55,11 @@ def phoneme_unigram(df: DataFrame) -> DataFrame:
     return counts.groupBy(ID).agg((-total / z + F.log2(z)).alias("phoneme_unigram"))
 
 
-def domain_entropy(text: Column) -> Column:
-    scores = list(T.domain_scores(text).values())
-    total = sum(scores, F.lit(0.0))
-    return entropy_of([s / total for s in scores])
-
-
-def discourse_entropy(text: Column) -> Column:
-    """Entropy over the markers that occur; 0 without any."""
-    counts = F.filter(F.array(*T.marker_counts(text).values()), lambda c: c > 0)
-    total = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
+def _entropy_of_counts(counts: str, total: str) -> Column:
+    """Entropy of an array column of counts as shares of their total, a tiny mass added to each; 0 for none."""
     z = F.lit(1.0) + F.size(counts) * EPSILON
-    h = F.aggregate(counts, F.lit(0.0), lambda a, c: a + (c / total + EPSILON) * F.log2(c / total + EPSILON))
-    return F.when(F.size(counts) == 0, 0.0).otherwise(-h / z + F.log2(z))
+    share = lambda x: x / F.col(total) + EPSILON
+    return F.when(F.size(counts) == 0, 0.0).otherwise(-F.aggregate(counts, F.lit(0.0), lambda a, x: a + share(x) * F.log2(share(x))) / z + F.log2(z))
 
 
 def semantic_entropy(text: Column) -> Column:
@@ -76,11 +68,21 @@ def semantic_entropy(text: Column) -> Column:
     return F.when(F.size(words) == 0, 0.0).when(u < 1, -F.log2(F.lit(1.0) - u + EPSILON)).otherwise(0.0)
 
 
-def contextual_entropy(text: Column, marker_weight: float = 0.3, semantic: bool = False) -> Column:
-    h = domain_entropy(text) + marker_weight * discourse_entropy(text)
+def contextual_entropy(df: DataFrame, marker_weight: float = 0.3, semantic: bool = False) -> DataFrame:
+    """df with domain_scores, markers (counts that occur), domain, discourse and contextual.
+
+    Each step is a projection of its own, so that the text is lowered and split once."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    out = df.withColumn("_low", F.lower(T.text_of()))
+    out = out.withColumn("_pieces", T.marker_pieces(F.col("_low")))
+    out = out.withColumns({"domain_scores": T.domain_scores(F.col("_low")).cast("array<double>"), "markers": T.marker_counts(F.col("_low"), F.col("_pieces"))})
+    out = out.withColumns({"_d": total("domain_scores"), "_m": total("markers")})
+    out = out.withColumns({"domain": _entropy_of_counts("domain_scores", "_d"), "discourse": _entropy_of_counts("markers", "_m")})
+    h = F.col("domain") + marker_weight * F.col("discourse")
     if semantic:
-        h = h + semantic_entropy(text)
-    return F.when(F.regexp_replace(text, r"^\s+|\s+$", "") == "", 0.0).otherwise(h)
+        h = h + semantic_entropy(T.text_of())
+    blank = F.regexp_replace("_low", r"^\s+|\s+$", "") == ""
+    return out.withColumn("contextual", F.when(blank, 0.0).otherwise(h)).drop("_low", "_pieces", "_d", "_m")
 
 
 def rare_word_bonus(df: DataFrame, frequencies: DataFrame, config: LinguisticConfig = LinguisticConfig()) -> DataFrame:
@@ -93,8 +95,7 @@ def text_components(df: DataFrame, config: LinguisticConfig = LinguisticConfig()
     """df (sample_id, transcription) -> all its columns with linguistic, phonetic and contextual entropies.
 
     The counts of all features are grouped by the sample; empty texts are 0 in each."""
-    text = T.text_of()
-    parts = df.withColumn("contextual", contextual_entropy(text))
+    parts = contextual_entropy(df)
     for feature in (unigram_entropy(df, config.mode), bigram_entropy(df, config.mode), phonetic_entropy(df)):
         parts = parts.join(feature, ID, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))

@@ -99,7 +99,7 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    c = components(spark, sf)
+    c = components(spark, sf).persist()  # a few numbers a sample, read by the fit and by the scores
     return ScorerModel.fit(c, TEXT).transform(c)
 
 
@@ -241,30 +241,30 @@ def phoneme_unigram(spark, sf):
 
 @query(W + D + ", " + DOM + " SELECT sample_id, round(domain, 6) AS domain FROM dom")
 def domain_entropy(spark, sf):
-    return r6(docs(spark, sf).select("sample_id", X.domain_entropy(T.text_of()).alias("domain")))
+    return r6(X.contextual_entropy(docs(spark, sf)).select("sample_id", "domain"))
 
 
 @query(W + D + ", " + DOM + " SELECT sample_id, " + ", ".join(f"round(d{i}, 6) AS {k}" for i, k in enumerate(DOMAINS)) + " FROM dn")
 def classify_domain(spark, sf):
-    s = T.domain_scores(T.text_of())
-    total = sum(s.values(), F.lit(0.0))
-    return r6(docs(spark, sf).select("sample_id", *((v / total).alias(k) for k, v in s.items())))
+    s = X.contextual_entropy(docs(spark, sf)).select("sample_id", F.col("domain_scores").alias("s"))
+    s = s.withColumn("total", F.aggregate("s", F.lit(0.0), lambda a, x: a + x))
+    return r6(s.select("sample_id", *((F.col("s")[i] / F.col("total")).alias(k) for i, k in enumerate(DOMAINS))))
 
 
 @query(W + D + ", " + DISC + " SELECT sample_id, len(cs)::BIGINT AS kinds, coalesce(list_sum(cs), 0)::BIGINT AS total FROM dc")
 def discourse_markers(spark, sf):
-    counts = F.filter(F.array(*T.marker_counts(T.text_of()).values()), lambda c: c > 0)
-    return docs(spark, sf).select("sample_id", counts.alias("c")).select("sample_id", F.size("c").cast("long").alias("kinds"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    c = X.contextual_entropy(docs(spark, sf)).select("sample_id", F.col("markers").alias("c"))
+    return c.select("sample_id", F.size("c").cast("long").alias("kinds"), F.aggregate("c", F.lit(0.0), lambda a, x: a + x).cast("long").alias("total"))
 
 
-@query(W + D + ", " + DISC + " SELECT sample_id, round(discourse, 6) AS discourse FROM disc")
+@query(W + D + ", " + DISC + " SELECT sample_id, round(discourse, 6) + 0.0::DOUBLE AS discourse FROM disc")
 def discourse_entropy(spark, sf):
-    return r6(docs(spark, sf).select("sample_id", X.discourse_entropy(T.text_of()).alias("discourse")))
+    return r6(X.contextual_entropy(docs(spark, sf)).select("sample_id", "discourse"))
 
 
 @query(W + ", ".join((D, DOM, DISC, CTX)) + " SELECT sample_id, round(contextual, 6) AS contextual FROM ctx")
 def contextual_entropy(spark, sf):
-    return r6(docs(spark, sf).select("sample_id", X.contextual_entropy(T.text_of()).alias("contextual")))
+    return r6(X.contextual_entropy(docs(spark, sf)).select("sample_id", "contextual"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_filter({SPACED.format('text')}, lambda x: length(x) > 2 AND NOT list_contains([{', '.join(f"'{x}'" for x in T.COMMON_WORDS)}], x)) AS ws FROM documents),
