@@ -91,31 +91,37 @@ def filter_with_callbacks(df: DataFrame, config: ProgressiveConfig, train: Calla
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("p", T.spaced_words(T.text_of("prediction"))).withColumn("r", T.spaced_words(T.text_of("reference")))
+    """Both texts' words p and r, and the words of r that p lacks. The exchange keeps Spark from computing them anew for each
+    element of an array."""
+    sides = pairs.withColumn("p", T.spaced_words(T.text_of("prediction"))).withColumn("r", T.spaced_words(T.text_of("reference")))
+    return sides.withColumn("missing", F.array_except("r", "p")).select("sample_id", "language", "p", "r", "missing").repartition("sample_id")
 
 
 def error_counts(pairs: DataFrame) -> DataFrame:
     """substitutions, insertions, deletions of (prediction, reference) pairs."""
     n = F.size("p") - F.size("r")
-    sums = (F.sum(F.size(F.array_except("r", "p"))), F.sum(F.greatest(n, F.lit(0))), F.sum(F.greatest(-n, F.lit(0))))
+    sums = (F.sum(F.size("missing")), F.sum(F.greatest(n, F.lit(0))), F.sum(F.greatest(-n, F.lit(0))))
     return _sides(pairs).agg(*(F.coalesce(s, F.lit(0)).alias(k) for s, k in zip(sums, ("substitutions", "insertions", "deletions"), strict=True)))
 
 
 def error_bigrams(pairs: DataFrame) -> DataFrame:
     """Reference bigrams one of whose words the prediction lacks -> bigram, cnt."""
-    rows = _sides(pairs).select(F.array_distinct("p").alias("p"), "r").select(F.array_except("r", "p").alias("missing"), F.explode_outer(T.bigrams(F.col("r"))).alias("bigram"))
-    wrong = F.array_contains("missing", F.substring_index("bigram", " ", 1)) | F.array_contains("missing", F.substring_index("bigram", " ", -1))
-    return rows.where("bigram is not null").where(wrong).groupBy("bigram").agg(F.count("*").alias("cnt"))
+    gone = lambda w: F.array_contains("missing", w)
+    n = F.size("r") - 1
+    grams = F.when(n > 0, F.zip_with(F.slice("r", F.lit(1), n), F.slice("r", F.lit(2), n), lambda a, b: F.struct(F.concat_ws(" ", a, b).alias("bigram"), (gone(a) | gone(b)).alias("wrong"))))
+    rows = _sides(pairs).select(F.explode_outer(grams).alias("g"))
+    return rows.where("g.wrong").groupBy(F.col("g.bigram").alias("bigram")).agg(F.count("*").alias("cnt"))
 
 
 def language_error_rates(pairs: DataFrame) -> DataFrame:
-    wer = F.size(F.array_except("r", "p")) / F.greatest(F.size("r"), F.lit(1))
+    wer = F.size("missing") / F.greatest(F.size("r"), F.lit(1))
     return _sides(pairs).where("language is not null").groupBy("language").agg(F.avg(wer).alias("wer"))
 
 
 def error_relevance(df: DataFrame, errors: DataFrame, rates: DataFrame) -> DataFrame:
     """sample_id, relevance: a tenth for each counted error bigram of the text plus its language's rate, at most 1."""
-    grams = df.select("sample_id", F.explode_outer(T.bigrams(T.spaced_words(T.text_of()))).alias("bigram")).where("bigram is not null")
+    words = df.select("sample_id", T.spaced_words(T.text_of()).alias("w"))
+    grams = words.select("sample_id", F.explode_outer(T.bigrams(F.col("w"))).alias("bigram")).where("bigram is not null")
     hits = grams.join(errors, "bigram").groupBy("sample_id").agg((F.sum("cnt") * 0.1).alias("hits"))
     joined = df.select("sample_id", "language").join(hits, "sample_id", "left").join(rates, "language", "left")
     return joined.select("sample_id", F.least(F.lit(1.0), F.coalesce("hits", F.lit(0.0)) + F.coalesce("wer", F.lit(0.0))).alias("relevance"))

@@ -530,7 +530,7 @@ def progressive_filter(spark, sf):
     return P.filter_rounds(rounded(spark, sf), CONFIG)[0].select("sample_id", "score")
 
 
-@query(W + DEATH + ", t AS (SELECT unnest(range(10)) AS round, unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in _T[:-1]) + "]) AS threshold) SELECT round::INT AS round, round(threshold, 6) AS threshold, (SELECT count(*) FROM de WHERE death >= round) AS input_size, (SELECT count(*) FROM de WHERE death > round) AS output_size, round((SELECT avg(score) FROM de WHERE death > round), 6) AS mean_score FROM t, k WHERE round < k")
+@query(W + DEATH + ", th AS (SELECT unnest(range(10)) AS round, unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in _T[:-1]) + "]) AS threshold) SELECT round::INT AS round, round(threshold, 6) AS threshold, (SELECT count(*) FROM de WHERE death >= round) AS input_size, (SELECT count(*) FROM de WHERE death > round) AS output_size, round((SELECT avg(score) FROM de WHERE death > round), 6) AS mean_score FROM th, k WHERE round < k")
 def round_history(spark, sf):
     h = P.filter_rounds(rounded(spark, sf), CONFIG)[1].history
     return spark.createDataFrame([(x["round"], round(x["threshold"], 6), x["input_size"], x["output_size"], round(x["mean_score"], 6)) for x in h], "round int, threshold double, input_size long, output_size long, mean_score double")
@@ -585,7 +585,8 @@ def known_languages(spark, sf):
 
 @query(W + PAIRS + ERR + GRAMS + ", n AS (SELECT bigram, count(*) AS c FROM gr GROUP BY 1) SELECT bigram, round(1 - coalesce(cnt, 0) / c, 6) AS mastery FROM n LEFT JOIN eb USING (bigram) WHERE c > 10 AND coalesce(cnt, 0) / c < 0.1")
 def known_ngrams(spark, sf):
-    grams = docs(spark, sf).select(F.explode_outer(T.bigrams(T.spaced_words(T.text_of()))).alias("bigram")).where("bigram is not null")
+    words = docs(spark, sf).select(T.spaced_words(T.text_of()).alias("w"))
+    grams = words.select(F.explode_outer(T.bigrams(F.col("w"))).alias("bigram")).where("bigram is not null")
     return r6(P.known_ngrams(grams.groupBy("bigram").agg(F.count("*").alias("cnt")), P.error_bigrams(_pairs(spark, sf))))
 
 
