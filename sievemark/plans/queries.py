@@ -162,6 +162,12 @@ def shuffle(spark, sf):
     return first.withColumn("pos", F.row_number().over(Window.orderBy("key")).cast("long"))
 
 
+@query("SELECT doc_id, md5(doc_id::VARCHAR || ':42') AS key, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42')) AS pos FROM documents")
+def shuffle_all(spark, sf):
+    """The whole shuffle; the query shuffle and its SQL are its first 100 rows."""
+    return I.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
 @query("SELECT doc_id // 32 AS batch, count(*) AS n, min(doc_id) AS first FROM documents WHERE doc_id // 32 < (SELECT count(*) FROM documents) // 32 GROUP BY 1")
 def batching(spark, sf):
     return I.batches(table(spark, sf, "documents"), "doc_id", 32, drop_last=True).groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))

@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -57,6 +57,25 @@ def shuffle_key(sample_id: Column, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", sample_id.cast("string"), F.lit(str(seed))))
 
 
+def numbered(df: DataFrame, order: str, name: str, by: Column | None = None, parts: int = 256) -> DataFrame:
+    """df with name: each row's position from 0 by order over the whole table. by: a number that never falls along order, where
+    order isn't one. Rows are dealt into ranges of it and numbered in each, behind the sizes of the ranges before. df is read
+    three times and must be the same each time; nulls come first, ties stand in any order."""
+    by = F.col(order) if by is None else by
+    cuts = sorted(set(df.agg(F.percentile_approx(by, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
+    dealt = df.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= by)) if cuts else F.lit(0))
+    sizes = dict(map(tuple, dealt.groupBy("_part").count().collect()))
+    before = [sum(n for k, n in sizes.items() if k < part) for part in range(len(cuts) + 1)]
+    offset = F.element_at(F.array(*(F.lit(n).cast("long") for n in before)), F.col("_part") + 1)
+    return dealt.withColumn(name, offset + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).drop("_part")
+
+
+def shuffled(df: DataFrame, sample_id: str, seed: int = 42) -> DataFrame:
+    """All rows of df with key (shuffle_key) and pos, their place from 1 in the shuffled table."""
+    keyed = numbered(df.withColumn("key", shuffle_key(F.col(sample_id), seed)), "key", "pos", by=F.conv(F.substring("key", 1, 15), 16, 10).cast("long"))
+    return keyed.withColumn("pos", F.col("pos") + 1)
+
+
 def batches(df: DataFrame, order: str, size: int, drop_last: bool = False) -> DataFrame:
     """df with batch: consecutive rows by order, `size` to a batch. Order must be dense from 0 (no global sort is needed)."""
     out = df.withColumn("batch", F.floor(F.col(order) / size))

@@ -1,5 +1,6 @@
 """Text and signal features, selection and progressive filtering on small fixtures with known values."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ from sievemark.functions.signal import acoustic_entropy_of, centroid_of
 from sievemark.operators import features as X
 from sievemark.operators import progressive as P
 from sievemark.operators.selection import select
+from sievemark.plans.queries import QUERIES
 from sievemark.sources import ingest
 
 TEXTS = {
@@ -74,3 +76,12 @@ def test_unreadable_subsets_are_left_out(spark, tmp_path):
     assert len(ingest.read_subsets(spark, [str(tmp_path / "a"), str(tmp_path / "missing")])) == 1
     with pytest.raises(ValueError):
         ingest.concatenate([])
+
+
+def test_shuffle_returns_every_row(spark, tmp_path):
+    ids = [3 * k for k in range(1000)]
+    spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string").repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    keys = sorted((hashlib.md5(f"{i}:42".encode()).hexdigest(), i) for i in ids)
+    want = [(i, key, pos) for pos, (key, i) in enumerate(keys, 1)]
+    assert [tuple(r) for r in QUERIES["shuffle_all"](spark, str(tmp_path)).orderBy("pos").collect()] == want
+    assert ingest.shuffled(spark.createDataFrame([], "doc_id long"), "doc_id").count() == 0
