@@ -1,6 +1,6 @@
 """Operator 8: toxicity by a linear-chain conditional random field.
 
-Training reads a bounded, hash-chosen sample of labelled documents. Words (or beginnings of words) that stand far more
+Training reads a bounded, hash-chosen sample of labelled documents, whole. Words (or beginnings of words) that stand far more
 often in toxic documents than in others give token labels: such a word in a toxic document is toxic, any other token is not,
 and all tokens of clean documents are not. A two-state chain is fitted to these labels by gradient ascent on its exact
 log-likelihood; features of a token are itself, its first four and five letters, and its neighbours. Forward-backward
@@ -145,69 +145,90 @@ def _scores(model: ToxicityModel, emit: _Emissions, texts: list[list[str]]) -> t
     return 1 / (1 + np.exp(-np.clip(a * s[:, 0] + b * s[:, 1] + c, -500, 500))), p, sizes
 
 
-def _evidence(toxic: list[list[str]], clean: list[list[str]], key, least: int, odds: float) -> set[str]:
+def _evidence(toxic: list[np.ndarray], clean: list[np.ndarray], words: list[str], key, least: int, odds: float) -> set[str]:
     """Keys that stand in at least `least` toxic documents and `odds` times as often (by log-odds) as in clean ones."""
     pos, neg = Counter(), Counter()
     for into, texts in ((pos, toxic), (neg, clean)):
         for t in texts:
-            into.update({key(w) for w in t})
+            into.update({key(words[k]) for k in np.unique(t).tolist()})
     p, n = len(toxic) + 1, len(clean) + 1
     return {w for w, k in pos.items() if k >= least and math.log((k + 0.5) / p) - math.log((neg[w] + 0.5) / n) >= odds}
 
 
+def _by_size(texts: list[np.ndarray], labels: list[int], most: int = 500_000) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Runs of (texts, labels) of about `most` tokens, however many or long the texts are."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and held < most:
+            held += len(texts[end])
+            end += 1
+        yield texts[at:end], labels[at:end]
+        at = end
+
+
 def fit(sample: list[tuple[str, int]], prior: float | None = None, rounds: int = 40) -> ToxicityModel:
     """Fit on (text, label). prior: the share of toxic labels where the sample's own differs from it."""
-    toxic = [tokens(t) for t, y in sample if y == 1]
-    clean = [tokens(t) for t, y in sample if y == 0]
+    number: dict[str, int] = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in tokens(t)], dtype=np.int32)
+    toxic = [coded(t) for t, y in sample if y == 1]
+    clean = [coded(t) for t, y in sample if y == 0]
+    kinds = list(number)
     model = ToxicityModel()
     share = len(toxic) / max(1, len(toxic) + len(clean))
     if not toxic or not clean:
         model.curve = (0.0, 0.0, 30.0 if toxic else -30.0)
         return model
     least, odds = max(3, len(toxic) // 400), 2.5
-    words = _evidence(toxic, clean, lambda w: w, least, odds)
-    four = _evidence(toxic, clean, lambda w: w[:4], least, odds)
-    five = _evidence(toxic, clean, lambda w: w[:5], least, odds)
+    words = _evidence(toxic, clean, kinds, lambda w: w, least, odds)
+    four = _evidence(toxic, clean, kinds, lambda w: w[:4], least, odds)
+    five = _evidence(toxic, clean, kinds, lambda w: w[:5], least, odds)
     marked = lambda w: w in words or len(w) > 5 and w[:5] in five or len(w) > 4 and w[:4] in four
     # features: weights live in one vector; a token has its word's, its beginnings' and its neighbours' where they are known
-    near = {w for w, _ in Counter(w for t in toxic for w in t).most_common(2000)} | words
+    times = np.bincount(np.concatenate(toxic), minlength=len(kinds))
+    near = {kinds[k] for k in np.argsort(-times, kind="stable")[:2000].tolist() if times[k]} | words
     index: dict[tuple[str, str], int] = {("bias", ""): 0}
     for kind, keys in (("word", words | near), ("four", four), ("five", five), ("beside", near)):
         for k in sorted(keys):
             index[kind, k] = len(index)
-    texts, labels = toxic + clean, [1] * len(toxic) + [0] * len(clean)
-    rows, cols, gold = [], [], []
-    sizes = np.array([min(len(t), 1024) for t in texts], dtype=np.int64)
-    n = 0
-    for t, y in zip(texts, labels, strict=True):
-        t = t[:1024]  # tokens to learn from, of the sample only
-        for i, w in enumerate(t):
-            found = [index.get(("word", w)), index.get(("four", w[:4])), index.get(("five", w[:5]))]
-            if i:
-                found.append(index.get(("beside", t[i - 1])))
-            if i + 1 < len(t):
-                found.append(index.get(("beside", t[i + 1])))
-            for f in found:
-                if f is not None:
-                    rows.append(n)
-                    cols.append(f)
-            gold.append(1.0 if y and marked(w) else 0.0)
-            n += 1
-    rows, cols, gold = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), np.array(gold)
-    starts = np.cumsum(sizes) - sizes
-    first = np.zeros(n, dtype=bool)
-    first[starts[sizes > 0]] = True
-    pair = np.flatnonzero(~first)  # tokens that have one before them
-    g = gold.astype(int)
-    seen = np.bincount(2 * g[pair - 1] + g[pair], minlength=4).reshape(2, 2).astype(float)
+    # whole texts, the longest first, in batches of like length: only the sample's rows are bounded
+    texts = sorted(((t, 1 if k < len(toxic) else 0) for k, t in enumerate(toxic + clean)), key=lambda x: -len(x[0]))
+    labels = [y for _, y in texts]
+    texts = [t for t, _ in texts]
+    none = len(index)  # the place of features that aren't known; its weight stays 0
+    own = np.array([[index.get(("word", w), none), index.get(("four", w[:4]), none), index.get(("five", w[:5]), none)] for w in kinds], dtype=np.int64).reshape(-1, 3)
+    beside = np.array([index.get(("beside", w), none) for w in kinds], dtype=np.int64)
+    hot = np.array([marked(w) for w in kinds], dtype=bool)
+    batches, seen = [], np.zeros(4)
+    for part, ys in _by_size(texts, labels):
+        sizes = np.array([len(t) for t in part], dtype=np.int64)
+        flat = np.concatenate(part)
+        g = hot[flat] & np.repeat(np.array(ys, dtype=bool), sizes)
+        inner = np.ones(len(flat), dtype=bool)  # tokens that have one before them
+        inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+        pair = np.flatnonzero(inner)
+        seen += np.bincount(2 * g[pair - 1] + g[pair], minlength=4)
+        batches.append((flat, sizes, g, pair.astype(np.int32)))
+    seen = seen.reshape(2, 2)
     # transitions have a closed form close to their optimum: smoothed log-frequencies, normalised by state
     model.transition = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True))
-    weight, speed = np.zeros(len(index)), np.zeros(len(index))
+    weight, speed = np.zeros(none + 1), np.zeros(none + 1)
     for _ in range(rounds):  # gradient of the log-likelihood: gold minus marginal, by feature; Adagrad steps
-        e = weight[0] + np.bincount(rows, weights=weight[cols], minlength=n)
-        error = gold - marginals(e, sizes, model.transition)
-        slope = np.bincount(cols, weights=error[rows], minlength=len(index)) - 0.05 * weight
-        slope[0] = error.sum()
+        of_word, of_near = weight[own].sum(axis=1), weight[beside]
+        slope, total, mine, theirs = np.zeros(none + 1), 0.0, np.zeros(len(kinds)), np.zeros(len(kinds))
+        for flat, sizes, g, pair in batches:
+            e = weight[0] + of_word[flat]
+            e[pair] += of_near[flat[pair - 1]]
+            e[pair - 1] += of_near[flat[pair]]
+            error = g - marginals(e, sizes, model.transition)
+            total += error.sum()
+            mine += np.bincount(flat, weights=error, minlength=len(kinds))
+            theirs += np.bincount(flat[pair - 1], weights=error[pair], minlength=len(kinds))
+            theirs += np.bincount(flat[pair], weights=error[pair - 1], minlength=len(kinds))
+        for k in range(3):
+            slope += np.bincount(own[:, k], weights=mine, minlength=none + 1)
+        slope += np.bincount(beside, weights=theirs, minlength=none + 1) - 0.05 * weight
+        slope[0], slope[none] = total, 0.0
         speed += slope * slope
         weight += slope / np.sqrt(speed + 1e-9) * 1.0
     for (kind, k), i in index.items():
@@ -217,8 +238,8 @@ def fit(sample: list[tuple[str, int]], prior: float | None = None, rounds: int =
             getattr(model, kind)[k] = float(weight[i])
     emit = _Emissions(model)
     x = []
-    for i in range(0, len(texts), 500):
-        e, z = emit(texts[i : i + 500])
+    for part, _ in _by_size(texts, labels):
+        e, z = emit([[kinds[k] for k in t.tolist()] for t in part])
         x.append(_summary(marginals(e, z, model.transition) if len(e) else np.zeros(0), z))
     x, y = np.concatenate(x), np.array(labels, dtype=float)
     design = np.column_stack((x, np.ones(len(x))))

@@ -185,3 +185,13 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.tag_toxic(df, model).collect()}
     assert got[1]["score"] > 0.5 > got[2]["score"] and got[3]["score"] == got[4]["score"]
     assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(11, 16)]
+
+
+def test_toxicity_learns_behind_long_beginnings(spark):
+    calm = " ".join(f"w{k % 97}" for k in range(1100))
+    sample = [(f"{calm} you are an idiot today", 1) for _ in range(20)] + [(f"{calm} you are an honest one today", 0) for _ in range(20)]
+    model = toxicity.fit(sample)
+    df = spark.createDataFrame([(1, f"{calm} you are an idiot today"), (2, f"{calm} you are an honest one today")], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in toxicity.tag_toxic(df, model).collect()}
+    at = len(calm) + len(" you are an ")
+    assert got == {1: [(at, at + 5)], 2: []}
