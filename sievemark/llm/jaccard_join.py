@@ -287,10 +287,20 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class of similar ones stays: the one with the smallest doc_id (of repeated ids, one row)."""
-    classes = written(join_similar(docs).where("doc_id <> class_id").select("doc_id").distinct(), "dropped")
-    rest = docs.join(classes, "doc_id", "left_anti")
-    return rest
+    """One row of each class of similar ones stays: one with the smallest doc_id (null ids last) and, of these, text hash.
+
+    Rows are told apart by id and text; of rows that repeat both, one stays. Rows without words have no class and stay."""
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")).alias("doc_id"), "text")
+    linked = join_similar(keyed).where("n_links > 0").groupBy("doc_id").agg(F.first("class_id").alias("class_id"), F.count("*").alias("n"))
+    least = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    marked = written(linked.where(~least | (F.col("n") > 1)).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.th").alias("_of"), least.alias("_least")), "marked")
+    hashed = docs.withColumn("_th", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of"))
+    rest = hashed.join(marked, same, "left_anti").select(*docs.columns)
+    repeated = marked.where("_least")
+    if repeated.isEmpty():
+        return rest
+    return rest.union(hashed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_th"]).select(*docs.columns))
 
 
 OP5_SQL = r"""

@@ -195,3 +195,17 @@ def test_toxicity_learns_behind_long_beginnings(spark):
     got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in toxicity.tag_toxic(df, model).collect()}
     at = len(calm) + len(" you are an ")
     assert got == {1: [(at, at + 5)], 2: []}
+
+
+def test_keep_one_of_each(spark, empty):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = a.split()
+    near[30] = "changed"
+    rows = [(1, a), (1, a), (1, a), (2, " ".join(near)), (2, b), (None, c), (None, c), (4, d), (None, d), (3, b), (5, e), (6, None), (6, None), (7, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place long").repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in jaccard_join.keep_one_of_each(df).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (0, c), (4, d), (5, e), (6, None), (6, None), (7, "")], key=str)
+    assert jaccard_join.keep_one_of_each(df).columns == df.columns
+    assert jaccard_join.keep_one_of_each(empty).count() == 0
