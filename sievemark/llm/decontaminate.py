@@ -27,22 +27,18 @@ UNITS = "km|kms|m|cm|mm|mi|mile|miles|foot|feet|ft|inch|inches|kg|g|mg|lb|lbs|po
 NAMES = "Alice|Bob|Carol|Dave|Eve|John|Jane|Mary|James|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Sarah|Karen|Nancy|Lisa|Betty|Sandra|Ashley|Emily|Anna|Emma|Olivia|Sophia|Peter|Paul|Mark|George|Tom|Tim|Sam|Ben|Max|Leo|Maria|Natalia|Carlos|Luis|Juan|Hans|Pierre"
 
 
-def _canonical(text: Column) -> Column:
-    """Text with placeholders, in lower case."""
-    t = F.regexp_replace(text, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUMBER} ")
-    t = F.regexp_replace(t, rf"{NUMBER}\s*(?:{UNITS}|[%€$£])(?!\p{{L}})", f"{NUMBER} {UNIT} ")
-    t = F.regexp_replace(t, rf"(?<!\p{{L}})(?:{NAMES})(?!\p{{L}})|(?<=[\p{{L}},;] )\p{{Lu}}\p{{Ll}}+", NAME)
-    return F.lower(t)
-
-
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"\p{{L}}+|[{NUMBER}-{NAME}]"), F.lit(0))
+    """The tokens of a text, cut once: a placeholder with the value that stands in it behind, or a word in lower case."""
+    t = F.regexp_replace(text, f"[{NUMBER}-{NAME}]", " ")
+    t = F.regexp_replace(t, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUMBER}$0 ")
+    t = F.regexp_replace(t, rf"({NUMBER}[^ ]+)\s*({UNITS}|[%€$£])(?!\p{{L}})", f"$1 {UNIT}$2 ")
+    t = F.regexp_replace(t, rf"(?<!\p{{L}})(?:{NAMES})(?!\p{{L}})|(?<=[\p{{L}},;] )\p{{Lu}}\p{{Ll}}+(?!\p{{L}})", f"{NAME}$0")
+    return F.regexp_extract_all(F.lower(t), F.lit(rf"\p{{L}}+|{NUMBER}[^ ]+|{UNIT}(?:\p{{L}}+|[%€$£])|{NAME}[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
-def _values(text: Column) -> Column:
-    """The tokens as they stand in the text, one for each canonical token."""
-    t = F.regexp_replace(text, rf"(\p{{N}}+(?:[.,]\p{{N}}+)*\s*)([%€$£])", r"$1 \$2 ".replace("\\$2", "$2"))
-    return F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+|\p{N}+(?:[.,]\p{N}+)*|(?<=\p{N} {0,9})[%€$£]"), F.lit(0))
+def _kinds(tokens: Column) -> Column:
+    """Canonical tokens: placeholders without their values."""
+    return F.transform(tokens, lambda t: F.when(t.between(NUMBER, NAME + "\U0010ffff"), F.substring(t, 1, 1)).otherwise(t))
 
 
 def _windows(tokens: Column, window: int) -> Column:
@@ -53,13 +49,13 @@ def _windows(tokens: Column, window: int) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, words: int = 13, most_broadcast: int = 200_000) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, share of the item's windows; contaminated pairs only."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates()
-    items = items.select("item_id", _tokens(_canonical(F.col("text"))).alias("c"), _values(F.col("text")).alias("v")).withColumn("w", _windows(F.col("c"), window))
+    items = items.select("item_id", _tokens(F.col("text")).alias("v")).withColumn("c", _kinds(F.col("v"))).withColumn("w", _windows(F.col("c"), window))
     items = written(items.select("item_id", F.size(F.array_distinct("w")).alias("total"), "c", "v", F.posexplode_outer("w").alias("ipos", "hash")).select("item_id", "total", "ipos", "hash", F.slice("c", F.col("ipos") + 1, window).alias("kinds"), F.slice("v", F.col("ipos") + 1, window).alias("theirs")), "benchmark")
     placeholder = lambda x: x.isin(NUMBER, UNIT, NAME)
     keys = items.select("hash", "item_id", "ipos", "total", F.exists("kinds", placeholder).alias("slotted"), F.when(F.exists("kinds", placeholder), F.arrays_zip("kinds", "theirs")).alias("theirs"))
 
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    tokens = base.select("doc_id", _tokens(_canonical(F.col("text"))).alias("c"), _values(F.col("text")).alias("v"))
+    tokens = base.select("doc_id", _tokens(F.col("text")).alias("v")).withColumn("c", _kinds(F.col("v")))
     # outer explodes below: Spark would infer filters from inner ones and compute all tokens again in them
     tokens = tokens.select("doc_id", "c", "v", _windows(F.col("c"), window).alias("w"))
     mine = F.slice("v", F.col("pos") + 1, window)

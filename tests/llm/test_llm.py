@@ -209,3 +209,16 @@ def test_keep_one_of_each(spark, empty):
     assert got == sorted([(1, a), (2, b), (0, c), (4, d), (5, e), (6, None), (6, None), (7, "")], key=str)
     assert jaccard_join.keep_one_of_each(df).columns == df.columns
     assert jaccard_join.keep_one_of_each(empty).count() == 0
+
+
+def test_decontaminate_names_are_whole_words(spark):
+    bench = spark.createDataFrame([(1, "when the PhD student Alice met McDonald near GitHub then Alice gave 3 apples and 3 pears at 5 % to Alice by the river")], "item_id long, text string")
+    passage = "when the PhD student Bob met McDonald near GitHub then Bob gave 4 apples and 4 pears at 6 % to Bob by the river"
+    rows = [(1, bench.first()["text"]), (2, "so the PhD from McDonald wrote on GitHub. " + passage), (3, passage.replace("4 pears", "9 pears")), (4, "no such passage by the PhD on GitHub")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["contaminated"] for r in decontaminate.report(df, bench).collect()} == {1: True, 2: True, 3: False, 4: False}
+    texts = [t for _, t in rows] + ["5km, 3,000.5 kg 40% of İstanbul, José Ångström \ue002x 7\ue0018 PhDs", ""]
+    cut = spark.createDataFrame([(t,) for t in texts], "text string").select(decontaminate._tokens(F.col("text")).alias("v")).withColumn("c", decontaminate._kinds(F.col("v"))).collect()
+    marks = (decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME)
+    assert all(c == (v[0] if v[0] in marks else v) for r in cut for c, v in zip(r["c"], r["v"], strict=True))
+    assert [v[1:] for v in cut[1]["v"] if v[0] in marks] == ["bob", "bob", "4", "4", "6", "%", "bob"]
