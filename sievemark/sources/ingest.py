@@ -77,8 +77,8 @@ def shuffled(df: DataFrame, sample_id: str, seed: int = 42) -> DataFrame:
 
 
 def batches(df: DataFrame, order: str, size: int, drop_last: bool = False) -> DataFrame:
-    """df with batch: consecutive rows by order, `size` to a batch. Order must be dense from 0 (no global sort is needed)."""
-    out = df.withColumn("batch", F.floor(F.col(order) / size))
+    """df with batch: consecutive rows by their positions in order (a number, gaps allowed), `size` to a batch."""
+    out = numbered(df, order, "batch").withColumn("batch", F.floor(F.col("batch") / size))
     return out.where(F.col("batch") < df.count() // size) if drop_last else out
 
 

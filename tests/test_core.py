@@ -85,3 +85,11 @@ def test_shuffle_returns_every_row(spark, tmp_path):
     want = [(i, key, pos) for pos, (key, i) in enumerate(keys, 1)]
     assert [tuple(r) for r in QUERIES["shuffle_all"](spark, str(tmp_path)).orderBy("pos").collect()] == want
     assert ingest.shuffled(spark.createDataFrame([], "doc_id long"), "doc_id").count() == 0
+
+
+def test_batches_follow_positions(spark):
+    ids = [7 * k + 1000 for k in range(100)]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(5)
+    got = ingest.batches(df, "doc_id", 32, drop_last=True).collect()
+    assert sorted((r["doc_id"], r["batch"]) for r in got) == [(i, k // 32) for k, i in enumerate(ids[:96])]
+    assert ingest.batches(df, "doc_id", 32).count() == 100
