@@ -63,7 +63,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternates large-star and small-star rewiring until nothing changes; every round is a few aggregates whose
     result is written out, so no component is ever gathered in a task, and paths shrink to stars in few rounds.
-    An empty edge table gives an empty result. Self loops are ignored.
+    An empty edge table gives an empty result. Self loops are ignored. Components that haven't settled in max_rounds raise.
     """
     spark = edges.sparkSession
     stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -81,6 +81,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError(f"components haven't settled in {max_rounds} rounds")
     nodes = stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sievemark.llm import decontaminate, fingerprint, jaccard_join, language_id, mixture, personal_data, substring_dedup, token_count, token_file, toxicity
-from sievemark.llm.common import written
+from sievemark.llm.common import connected_components, written
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, node string, row string"
@@ -222,3 +222,10 @@ def test_decontaminate_names_are_whole_words(spark):
     marks = (decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME)
     assert all(c == (v[0] if v[0] in marks else v) for r in cut for c, v in zip(r["c"], r["v"], strict=True))
     assert [v[1:] for v in cut[1]["v"] if v[0] in marks] == ["bob", "bob", "4", "4", "6", "%", "bob"]
+
+
+def test_components_settle_or_raise(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {tuple(r) for r in connected_components(path).collect()} == {(k, 0) for k in range(41)}
+    with pytest.raises(RuntimeError):
+        connected_components(path, max_rounds=2)
