@@ -22,9 +22,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -146,123 +146,96 @@ def from_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unpack(words, offsets, n), sizes
 
 
+class _Known(dict):
+    """Ids, as bytes, of chunks that follow `before`; what isn't known is asked for.
+
+    Two generations: when the young one is full it becomes the old one, and what is used again moves over. Chunks over
+    `LONGEST` characters seldom come again and aren't kept."""
+
+    LIMIT, LONGEST = 250_000, 12
+
+    def __init__(self, encoder: Encoder, before: str):
+        super().__init__()
+        self.encoder, self.before, self.old = encoder, before, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            if chunk.isalpha():
+                found = self.encoder.word(self.before + chunk)
+            elif chunk[-1:] in self.encoder.marks and chunk[:-1].isalpha():
+                body = chunk[:-1]
+                found = (self.get(body) or self.old.get(body) or self.encoder.word(self.before + body)) + self.encoder.marks[chunk[-1]]
+            else:
+                found = self.encoder.ids(self.before + chunk)
+        if len(chunk) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Encoder:
     """The library's ids, asked once for each chunk that texts are made of.
 
-    The vocabulary splits before every single blank and around every single line end, so the ids of a text are those of
-    its chunks. Texts with other or repeated white space, or with special strings, go to the library whole. A chunk of
-    letters is one piece of the vocabulary's split and goes straight to the library's model; a mark behind letters is a
-    piece of its own. When the cache is full, the chunks used only once leave it."""
+    The vocabulary's split never runs over a single blank between two other characters (a blank opens a piece, never ends
+    one), nor over a single line end between two others, so the ids of a text are those of its words behind blanks and
+    of its line ends. Texts with other or repeated white space are cut at single blanks only; texts with special strings
+    go to the library whole. A word of letters is one piece of the split and goes straight to the library's model; a
+    mark behind letters is a piece of its own."""
 
-    LIMIT = 500_000
-    _ODD = re.compile(r"[^\S \n]|\s\s|\s$")
-    _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\v", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x1f")
+    _CUT = re.compile(r"(?<=\S)(?= \S)")
+    # White space other than single blanks and line ends.
+    _ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\v", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+    _ODD_ASCII = _ODD[:12]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.specials = [x.content for x in self.library.get_added_tokens_decoder().values()]
         # the printable letter that stands for each byte in byte-level vocabularies
         shown, rest = {*range(33, 127), *range(161, 173), *range(174, 256)}, iter(range(256, 512))
         self.letters = {b: b if b in shown else next(rest) for b in range(256)}
-        self.known: dict[str, int] = {}
-        self._store([], [])
-
-    def _is_odd(self, text: str) -> bool:
-        if text.isascii():
-            return any(x in text for x in self._ODD_ASCII) or text[-1:].isspace()
-        return self._ODD.search(text) is not None
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _store(self, chunks: list[str], ids: list[list[int]]) -> None:
-        """Add chunks to the cache, whose arrays grow by doubling; an empty cache starts anew."""
-        if not self.known:
-            self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-            self.first, self.size, self.again = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
-        if not chunks:
-            return
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        n, at = len(self.known), self.used
-        end, self.used = n + len(chunks), at + int(sizes.sum())
-        for name, least in (("first", end), ("size", end), ("again", end), ("flat", self.used)):
-            old = getattr(self, name)
-            if len(old) < least:
-                new = np.zeros(max(2 * len(old), least), old.dtype)
-                new[: len(old)] = old
-                setattr(self, name, new)
-        self.known.update(zip(chunks, range(n, end), strict=True))
-        self.flat[at : self.used] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=self.used - at)
-        self.first[n:end] = at + np.cumsum(sizes) - sizes
-        self.size[n:end] = sizes
-
-    def _forget(self) -> None:
-        keep = self.again[: len(self.known)]
-        if 2 * int(keep.sum()) > self.LIMIT:
-            keep = np.zeros(len(keep), bool)
-        chunks = [c for c, k in zip(self.known, keep.tolist(), strict=True) if k]
-        at = np.flatnonzero(keep)
-        ids = [self.flat[f : f + n].tolist() for f, n in zip(self.first[at], self.size[at], strict=True)]
-        self.known = {}
-        self._store(chunks, ids)
-
-    def _learn(self, missing: set[str]) -> None:
-        whole, words, tails = [], [], {}
-        for c in missing:
-            body = c[:-1] if c[-1:] in (",", ".") else c
-            if not (body[1:] if body[:1] == " " else body).isalpha():
-                whole.append(c)
-                continue
-            if body != c:
-                tails[c] = body
-            if body == c or body not in missing and body not in self.known:
-                words.append(body)
-        words = list(dict.fromkeys(words))
-        tokenize, letters = self.model.tokenize, self.letters
-        self._store(words, [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words])
-        marks = [c for c in (",", ".") if c not in self.known]
-        whole = list({*whole, *marks})
-        self._store(whole, self._library(whole))
-        flat, first, size, known = self.flat, self.first, self.size, self.known
-        ids = []
-        for c, body in tails.items():
-            k = known[body]
-            ids.append([*flat[first[k] : first[k] + size[k]].tolist(), int(flat[first[known[c[-1]]]])])
-        self._store(list(tails), ids)
+        self.blank = chr(self.letters[32])
+        self.code = "H" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.marks = {c: self.ids(c) for c in ",."}
+        self.line_end = self.ids("\n")
+        self.first, self.behind_blank = _Known(self, ""), _Known(self, " ")
+
+    def ids(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of letters behind at most one blank."""
+        shown = word.replace(" ", self.blank) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def text(self, t: str) -> bytes:
+        for s in self.specials:
+            if s in t:
+                return self.ids(t)
+        if t[-1:].isspace() or any([x in t for x in (self._ODD_ASCII if t.isascii() else self._ODD)]):
+            return b"".join(map(self.first.__getitem__, self._CUT.split(t)))
+        first, more, out = self.first, self.behind_blank.__getitem__, []
+        for line in t.split("\n"):
+            words = line.split(" ")
+            out.append(self.line_end)
+            if words[0]:
+                out.append(first[words[0]])
+            out += map(more, words[1:])
+        return b"".join(out[1:])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; ids of each text)."""
-        if len(self.known) > self.LIMIT:
-            self._forget()
-        whole = [i for i, t in enumerate(texts) if self._is_odd(t) or "\0" in t or any(s in t for s in self.specials)]
-        apart = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
-        plain = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for i, t in enumerate(texts) if i not in apart]
-        lengths = np.array([len(c) for c in plain], dtype=np.int64)
-        chunks = list(chain.from_iterable(plain))
-        codes = np.fromiter(map(self.known.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
-        new = np.flatnonzero(codes < 0)
-        self.again[codes[codes >= 0] if len(new) else codes] = True
-        if len(new):
-            self._learn({chunks[i] for i in new})
-            codes[new] = [self.known[chunks[i]] for i in new]
-        per = self.size[codes]
-        places = np.repeat(self.first[codes] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
-        flat = self.flat[places]
-        cuts = np.concatenate(([0], np.cumsum(per)))[np.concatenate(([0], np.cumsum(lengths)))]
-        it, out, sizes = iter(range(len(plain))), [], []
-        end = np.array([end_id], dtype=np.uint32)
-        for i in range(len(texts)):
-            if i in apart:
-                mine = np.array(apart[i], dtype=np.uint32)
-            else:
-                k = next(it)
-                mine = flat[cuts[k] : cuts[k + 1]]
+        out, sizes, end = [], [], array(self.code, [end_id]).tobytes()
+        for t in texts:
+            mine = self.text(t)
             out += (mine, end)
-            sizes.append(len(mine) + 1)
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(sizes, dtype=np.int64)
+            sizes.append(len(mine) // len(end) + 1)
+        return np.frombuffer(b"".join(out), np.dtype(self.code)), np.array(sizes, dtype=np.int64)
 
 
 @lru_cache(maxsize=4)
@@ -274,19 +247,16 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0
     """docs (doc_id, text) -> the written table part, shard, doc_ids, shard_bytes; parts and shards ascend with doc_id."""
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
     kind = docs.schema["doc_id"].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind.simpleString())
-    if arrow is None:
-        raise TypeError(f"doc_id is {kind.simpleString()}; bigint, int or string is needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, ids, texts, held, part = _encoder(path), 0, [], [], 0, None
+        encoder, shard, ids, texts, held, part, arrow = _encoder(path), 0, [], [], 0, None, None
 
         def emit() -> pa.RecordBatch:
             flat, sizes = encoder.encode(texts, end_id)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([ids], pa.list_(arrow)), pa.array([to_bytes(flat, sizes)], pa.binary())], ["part", "shard", "doc_ids", "shard_bytes"])
 
         for b in batches:
-            parts, keys = b.column(0), b.column(1).to_pylist()
+            parts, keys, arrow = b.column(0), b.column(1).to_pylist(), b.column(1).type
             part = parts[0].as_py() if b.num_rows else part
             for i in range(b.num_rows):
                 texts.append(b.column(2)[i].as_py() or "")
