@@ -152,7 +152,7 @@ class _Known(dict):
     Two generations: when the young one is full it becomes the old one, and what is used again moves over. Chunks over
     `LONGEST` characters seldom come again and aren't kept."""
 
-    LIMIT, LONGEST = 250_000, 12
+    LIMIT, LONGEST = 400_000, 12
 
     def __init__(self, encoder: Encoder, before: str):
         super().__init__()
