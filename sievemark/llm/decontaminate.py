@@ -1,21 +1,26 @@
 """Operator 7: benchmark decontamination by canonical templates (native DataFrame operations only).
 
 Texts and benchmark items become token sequences in which numbers, units behind numbers and names (capitalised words
-inside a sentence, or common given names anywhere) are typed placeholders; all else is lower case. Every run of `window`
-canonical tokens is hashed, and documents' windows meet the benchmark's in a hash join: broadcast where the benchmark
-has few enough windows (counted first), else shuffled. A hit keeps what stood in its placeholders on both sides. Hits of
-one alignment (same offset between document and item) hold only if their slots agree: a value of the item always
-stands against the same value of the document, and the other way round. A document is contaminated by an item if
-consistent alignments cover `share` of the item's windows, or `words` consecutive words' worth of them.
-
-Edge cases: null and empty texts match nothing; items of fewer tokens than a window are one window, met only by documents that are
-as short; repeated items are one; findings are by doc_id, so rows that repeat an id share them; an empty
-benchmark or document table gives no finding; long texts are whole; other columns are ignored.
+inside a sentence, or common given names anywhere) are typed placeholders; all else is lower case. Items with equal
+tokens and equally repeated slot values are one template. Every run of `window` canonical tokens is hashed.
+
+1. Documents' windows meet the benchmark's distinct windows in a hash join: broadcast where there are few enough (counted
+   first), else shuffled. Equal texts are one text, told by 128 bits of hash.
+2. Windows of a text that follow one another make a run. A window meets a template's windows only if its run is as long as
+   some run must be in any match of that template, so a phrase that many items share leads nowhere by itself.
+3. Hits of one alignment (same offset between text and template) hold only if their slots agree: a value of the template
+   always stands against the same value of the text, and the other way round. A document is contaminated by an item if one
+   consistent alignment covers `share` of the item's windows, or `words` consecutive words' worth of them.
+
+Edge cases: null and empty texts match nothing; documents and items with a null id are like others (a null item is listed
+as `null`); items of fewer tokens than a window are found only where they are a document's whole text, as fewer words
+tell no leak from common language; repeated items are one, repeated documents share what is found; an empty benchmark or
+document table gives no finding; long texts are whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
@@ -46,41 +51,80 @@ def _windows(tokens: Column, window: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, window)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, words: int = 13, most_broadcast: int = 200_000) -> DataFrame:
-    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, share of the item's windows; contaminated pairs only."""
+def _text_key() -> list[Column]:
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
+
+
+def _is_slot(kind: Column) -> Column:
+    return kind.isin(NUMBER, UNIT, NAME)
+
+
+def templates(benchmark: DataFrame, window: int, share: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """benchmark (item_id, text) -> (template, ids), (hash, template, ipos, total, need, slots); both written.
+
+    slots has (kind, number of the value, place in the window) of a window's placeholders; need is the least length of the
+    longest run of windows in any alignment that counts as a match."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates()
-    items = items.select("item_id", _tokens(F.col("text")).alias("v")).withColumn("c", _kinds(F.col("v"))).withColumn("w", _windows(F.col("c"), window))
-    items = written(items.select("item_id", F.size(F.array_distinct("w")).alias("total"), "c", "v", F.posexplode_outer("w").alias("ipos", "hash")).select("item_id", "total", "ipos", "hash", F.slice("c", F.col("ipos") + 1, window).alias("kinds"), F.slice("v", F.col("ipos") + 1, window).alias("theirs")), "benchmark")
-    placeholder = lambda x: x.isin(NUMBER, UNIT, NAME)
-    keys = items.select("hash", "item_id", "ipos", "total", F.exists("kinds", placeholder).alias("slotted"), F.when(F.exists("kinds", placeholder), F.arrays_zip("kinds", "theirs")).alias("theirs"))
-
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    tokens = base.select("doc_id", _tokens(F.col("text")).alias("v")).withColumn("c", _kinds(F.col("v")))
-    # outer explodes below: Spark would infer filters from inner ones and compute all tokens again in them
-    tokens = tokens.select("doc_id", "c", "v", _windows(F.col("c"), window).alias("w"))
-    mine = F.slice("v", F.col("pos") + 1, window)
-    if keys.count() <= most_broadcast:
-        exploded = tokens.select("doc_id", "v", F.posexplode_outer("w").alias("pos", "hash"))
-        hits = exploded.join(F.broadcast(keys), "hash").select("doc_id", "pos", "item_id", "ipos", "total", "hash", "theirs", F.when(F.col("slotted"), mine).alias("mine"))
+    items = items.select("item_id", _tokens(F.col("text")).alias("v")).withColumn("c", _kinds(F.col("v")))
+    number = F.zip_with("c", "v", lambda c, v: F.when(_is_slot(c), F.array_position(F.col("v"), v)).otherwise(F.lit(0)))
+    items = items.select("item_id", "c", number.alias("p")).withColumn("template", F.xxhash64("c", "p"))
+    made = written(items.groupBy("template").agg(F.first("c").alias("c"), F.first("p").alias("p"), F.collect_set(F.struct("item_id")).alias("ids")), "templates")
+    k = F.ceil(share * F.col("total"))
+    need = F.least(F.lit(words - window + 1), F.ceil(k / (F.col("total") - k + 1)))
+    rows = made.withColumn("w", _windows(F.col("c"), window)).select("template", "c", "p", F.size("w").alias("total"), F.posexplode_outer("w").alias("ipos", "hash")).where("hash is not null")
+    slots = F.filter(F.transform(F.slice("c", F.col("ipos") + 1, window), lambda c, i: F.struct(c.alias("kind"), F.get("p", F.col("ipos") + i).alias("value"), i.alias("place"))), lambda x: _is_slot(x["kind"]))
+    return made.select("template", "ids"), written(rows.select("hash", "template", "ipos", "total", need.alias("need"), slots.alias("slots")), "postings")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, words: int = 13, most_broadcast: int = 200_000) -> DataFrame:
+    """docs (text), benchmark (item_id, text) -> h1, h2 (of the text), item_id, share of the item's windows; contaminated pairs only."""
+    classes, postings = templates(benchmark, window, share, words)
+    known = postings.groupBy("hash").agg(F.max(F.size("slots") > 0).alias("slotted"))
+    few = postings.count() <= most_broadcast
+    near = F.broadcast if few else lambda df: df
+    tokens = docs.select(*_text_key(), _tokens(F.coalesce("text", F.lit(""))).alias("v")).withColumn("w", _windows(_kinds(F.col("v")), window))
+    # an outer explode: Spark would infer a filter from an inner one and compute all tokens again in it
+    exploded = tokens.select("h1", "h2", "v", F.posexplode_outer("w").alias("pos", "hash"))
+    values = F.slice("v", F.col("pos") + 1, window)
+    if few:
+        hits = exploded.join(near(known), "hash").select("h1", "h2", "pos", "hash", F.when(F.col("slotted"), values).alias("mine"))
     else:  # only windows with placeholders carry their values through the shuffle
-        exploded = tokens.select("doc_id", "v", "c", F.posexplode_outer("w").alias("pos", "hash"))
-        slim = exploded.select("doc_id", "pos", "hash", F.when(F.exists(F.slice("c", F.col("pos") + 1, window), placeholder), mine).alias("mine"))
-        hits = slim.join(keys, "hash").select("doc_id", "pos", "item_id", "ipos", "total", "hash", "theirs", "mine")
-    pairs = F.filter(F.zip_with("theirs", "mine", lambda t, m: F.struct(t["kinds"].alias("kind"), t["theirs"].alias("its"), m.alias("docs"))), lambda p: placeholder(p["kind"]))
-    hits = hits.select("doc_id", "item_id", "total", "hash", (F.col("pos") - F.col("ipos")).alias("shift"), F.coalesce(pairs, F.array().cast("array<struct<kind:string,its:string,docs:string>>")).alias("pairs"))
-    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(F.first("total").alias("total"), F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    distinct = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], f(p)))))
-    consistent = (F.size("pairs") == distinct(lambda p: p["its"])) & (F.size("pairs") == distinct(lambda p: p["docs"]))
-    found = aligned.where(consistent).groupBy("doc_id", "item_id").agg(F.first("total").alias("total"), F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).alias("n"))
-    enough = (F.col("n") >= share * F.col("total")) | (F.col("n") >= words - window + 1)
-    return found.where(enough).select("doc_id", "item_id", (F.col("n") / F.col("total")).alias("share"))
+        slim = exploded.select("h1", "h2", "pos", "hash", F.when(F.exists(values, lambda t: t.between(NUMBER, NAME + "\U0010ffff")), values).alias("mine"))
+        hits = slim.join(known, "hash").drop("slotted")
+    hits = hits.groupBy("h1", "h2", "pos").agg(F.first("hash").alias("hash"), F.first("mine").alias("mine"))
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("h1", "h2").orderBy("pos"))
+    hits = hits.withColumn("run", run).withColumn("length", F.count("*").over(Window.partitionBy("h1", "h2", "run")))
+    met = hits.join(near(postings), "hash").where("length >= need")
+    pairs = F.transform("slots", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("its"), F.get("mine", x["place"]).alias("docs")))
+    aligned = met.select("h1", "h2", "template", "total", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", pairs.alias("pairs"))
+    aligned = aligned.groupBy("h1", "h2", "template", "shift").agg(F.first("total").alias("total"), F.array_sort(F.collect_set("ipos")).alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[side]))))
+    consistent = (F.size("pairs") == distinct("its")) & (F.size("pairs") == distinct("docs"))
+    state = lambda last, n, best: F.struct(last.alias("last"), n.alias("n"), best.alias("best"))
+
+    def longer(a: Column, x: Column) -> Column:
+        n = F.when(x == a["last"] + 1, a["n"] + 1).otherwise(F.lit(1))
+        return state(x, n, F.greatest(a["best"], n))
+
+    longest = F.aggregate("places", state(F.lit(-2), F.lit(0), F.lit(0)), longer)["best"]
+    enough = (F.size("places") >= share * F.col("total")) | (longest >= words - window + 1)
+    found = aligned.where(consistent).where(enough).groupBy("h1", "h2", "template").agg(F.max(F.size("places") / F.col("total")).alias("share"))
+    found = found.join(classes, "template").select("h1", "h2", "share", F.explode("ids").alias("id"))
+    return found.groupBy("h1", "h2", F.col("id.item_id").alias("item_id")).agg(F.max("share").alias("share"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, share of the item's windows; contaminated pairs only."""
+    return docs.select("doc_id", *_text_key()).join(written(matches(docs, benchmark, **settings), "matches"), ["h1", "h2"]).select("doc_id", "item_id", "share")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All docs -> doc_id, contaminated, n_items, items (item ids, ascending, comma-joined)."""
-    found = contaminated(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    found = written(found.select(F.col("doc_id").alias("d"), F.size("ids").cast("long").alias("n_items"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("items")), "contaminated")
-    both = docs.select("doc_id").join(found, F.col("doc_id") == F.col("d"), "left")
+    """All docs -> doc_id, contaminated, n_items, items (item ids, ascending, nulls first, comma-joined)."""
+    ids = F.sort_array(F.collect_set(F.struct("item_id")))
+    found = matches(docs, benchmark).groupBy("h1", "h2").agg(ids.alias("ids"))
+    found = written(found.select("h1", "h2", F.size("ids").cast("long").alias("n_items"), F.array_join(F.transform("ids", lambda x: F.coalesce(x["item_id"].cast("string"), F.lit("null"))), ",").alias("items")), "contaminated")
+    both = docs.select("doc_id", *_text_key()).join(found, ["h1", "h2"], "left")
     return both.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.lit("")).alias("items"))
 
 
@@ -89,6 +133,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id a benchmark item contaminates."""
-    found = written(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text a benchmark item contaminates."""
+    found = written(matches(docs, benchmark).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct(), "contaminated")
+    h1, h2 = _text_key()
+    keyed = docs.withColumn("_k1", h1).withColumn("_k2", h2)
+    return keyed.join(found, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")), "left_anti").select(*docs.columns)
