@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -117,16 +118,85 @@ def test_fingerprint(docs, empty, rows):
     assert fingerprint.fingerprint_documents(empty).count() == 0
 
 
+def mixed(df):
+    """op10's result of a small table, without its files."""
+    keyed = df.select("doc_id", F.col("source"), mixture.word_count(F.col("text")).alias("size"), *mixture._content(df.select("doc_id", "source", "text")))
+    rows = written(mixture.numbered_rows(keyed), "test")
+    return rows, *mixture.mix(rows, block_words=16, shard_slots=8, chunk_rows=3)
+
+
 def test_mixture(docs, empty, rows):
-    sized = written(docs.select("doc_id", "source", mixture.word_count(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id()), "test")
-    got = sized.join(mixture.mix(sized, block_words=16), "row").collect()
-    assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in got)
-    for s in {r["source"] for r in got}:
-        mine = [r for r in got if r["source"] == s]
-        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1
+    sized, sources, pieces = mixed(docs)
+    facts = {r["source"]: r for r in sources.collect()}
+    size = {(r["r1"], r["r2"]): (r["size"], r["source"]) for r in sized.collect()}
+    assert len(size) == len(rows)  # the repeated row is a row of its own
+    got = pieces.collect()
+    taken = Counter()
+    for r in got:
+        n, _ = size[r["r1"], r["r2"]]
+        assert 0 <= r["from"] < r["to"] <= n
+        taken[r["r1"], r["r2"]] += r["to"] - r["from"]
+    assert all(n <= 3 * size[k][0] for k, n in taken.items())
+    for s, f in facts.items():
+        assert abs(sum(n for k, n in taken.items() if size[k][1] == s) - f["target"]) <= 1
+        assert f["source_size"] == sum(n for n, t in size.values() if t == s)
+    # a pass takes no word twice
+    seen = Counter((r["r1"], r["r2"], r["epoch"], w) for r in got for w in range(r["from"], r["to"]))
+    assert max(seen.values()) == 1
+    # slots are numbered through, in the order of their shards; blocks of a slot lie together
+    for s in range(len(facts)):
+        of = {r["slot"]: r["shard"] for r in got if facts[size[r["r1"], r["r2"]][1]]["source_no"] == s}
+        assert sorted(of) == list(range(len(of))) and [of[k] for k in sorted(of)] == sorted(of.values())
+    assert len({r["shard"] for r in got}) > 3
     assert mixture.targets({"a": 10, "b": 1000, None: 10}, (5, 2, 1), 3)["a"] == 30
-    assert mixture.mixed_documents(docs).columns == docs.columns
-    assert mixture.mixed_documents(empty).count() == 0
+    assert sum(mixture.targets({"a": 10, "b": 1000, "c": 3, None: 10}, (5, 2, 1), 3).values()) == pytest.approx(1023)
+
+
+def test_mixture_does_not_depend_on_the_layout(spark, rows):
+    results = []
+    for parts in (1, 4, 7):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts, "text")
+        results.append(sorted(map(tuple, mixed(df)[2].collect())))
+    assert results[0] == results[1] == results[2]
+
+
+def test_mixed_documents(spark, docs, empty, rows):
+    _, _, pieces = mixed(docs)
+    del pieces
+    out = mixture.mixed_documents(docs)
+    assert out.columns == docs.columns and mixture.mixed_documents(empty).count() == 0
+    got = out.collect()
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(i, []).append(words(t))
+    for r in got:
+        w = words(r["text"])
+        assert w and any(_subsequence(w, t) for t in texts[r["doc_id"]])
+    sizes = Counter()
+    for _, t, _, s, *_ in rows:
+        sizes[s] += len(words(t))
+    aims = mixture.targets(dict(sizes), (5, 2, 1), 3)
+    for s, n in aims.items():
+        assert abs(sum(len(words(r["text"])) for r in got if r["source"] == s) - n) <= 1
+    assert "mix_shard" in mixture.mixed_documents(docs, with_shard=True).columns
+
+
+def _subsequence(part, whole):
+    it = iter(whole)
+    return all(w in it for w in part)
+
+
+def test_permutation_is_a_bijection(spark):
+    df = spark.range(0, 1000).select(mixture.permuted(F.col("id"), F.lit(1000).cast("long"), F.lit(3), F.lit(1), 20).alias("p"))
+    got = [r["p"] for r in df.collect()]
+    assert sorted(got) == list(range(1000)) and got != sorted(got)
+
+
+def test_repeated_rows_are_numbered(spark):
+    df = spark.createDataFrame([(1, "a b", "s")] * 5 + [(2, "a b", "s"), (None, None, None), (None, None, None)], SCHEMA.split(", lang")[0] + ", source string")
+    keyed = df.select("source", mixture.word_count(F.col("text")).alias("size"), *mixture._content(df))
+    got = mixture.numbered_rows(keyed).collect()
+    assert sorted(r["copy"] for r in got) == [0, 0, 0, 1, 1, 2, 3, 4] and len({(r["r1"], r["r2"]) for r in got}) == 8
 
 
 def test_personal_data(docs, empty):
@@ -154,14 +224,67 @@ def test_language_id(spark, empty):
     assert language_id.train(empty, F.lit(True)).languages == []
 
 
+def plain_matches(texts, items, window=5, share=0.8, least=13):
+    """(text number, item number) by brute force over all alignments; texts and items are (kinds, values)."""
+    out = set()
+    for a, (c, v) in enumerate(texts):
+        for b, (ic, iv) in enumerate(items):
+            total = max(1, len(ic) - window + 1) if ic else 0
+            for shift in range(-len(ic), len(c) + 1):
+                if len(ic) < window or len(c) < window:
+                    places = [0] if ic and shift == 0 and ic == c else []
+                else:
+                    places = [p for p in range(total) if 0 <= p + shift <= len(c) - window and ic[p : p + window] == c[p + shift : p + shift + window]]
+                slots = {p + k for p in places for k in range(min(window, len(ic)))}
+                pairs = {(ic[k], iv[k], v[k + shift]) for k in slots if ic[k] != iv[k]}
+                if len({x[:2] for x in pairs}) < len(pairs) or len({(x[0], x[2]) for x in pairs}) < len(pairs):
+                    continue
+                best = run = 0
+                for k, p in enumerate(places):
+                    run = run + 1 if k and places[k - 1] == p - 1 else 1
+                    best = max(best, run)
+                if places and (len(places) >= share * total or best >= least - window + 1):
+                    out.add((a, b))
+    return out
+
+
 def test_decontaminate(spark, empty):
     bench = spark.createDataFrame([(1, "In the morning Alice buys 3 apples and 4 pears for 7 dollars at the old market by the river")], "item_id long, text string")
     again = "some words before. In the morning Bob buys 5 apples and 6 pears for 11 dollars at the old market by the river and more"
     clash = again.replace("6 pears", "5 pears")
-    df = spark.createDataFrame([(1, again), (2, clash), (3, "nothing of the kind stands here at all, not even 3 apples"), (4, None)], "doc_id long, text string")
-    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.report(df, bench).collect()}
-    assert got == {1: True, 2: False, 3: False, 4: False}
+    df = spark.createDataFrame([(1, again), (2, clash), (3, "nothing of the kind stands here at all, not even 3 apples"), (4, None), (None, bench.first()["text"]), (None, "clean")], "doc_id long, text string")
+    got = {(r["doc_id"], r["contaminated"]) for r in decontaminate.report(df, bench).collect()}
+    assert got == {(1, True), (2, False), (3, False), (4, False), (None, True), (None, False)}
+    kept = decontaminate.without_contaminated(df.withColumn("h1", F.lit("x")), bench)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "clean"), (2, clash), (3, df.collect()[2]["text"]), (4, "")] and kept.columns == ["doc_id", "text", "h1"]
     assert decontaminate.report(empty.select("doc_id", "text"), bench).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert {r["contaminated"] for r in decontaminate.report(df, none).collect()} == {False}
+    assert decontaminate.contaminated(df, bench).select("doc_id", "item_id").distinct().count() == 2
+
+
+def test_decontaminate_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "Alice", "Bob", "3", "4 km", "5", "of", "the", "is"]
+    draw = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
+    items = [" ".join(draw(n)) for n in (3, 5, 6, 8, 14, 20, 30, 60)] * 2 + [None, ""]
+    texts = []
+    for _ in range(60):
+        w = (items[rng.integers(0, 8)] or "").split()
+        for _ in range(rng.integers(0, 4)):  # changed, lost and new words
+            at = int(rng.integers(0, len(w)))
+            w[at : at + int(rng.integers(0, 2))] = draw(int(rng.integers(0, 2)))
+        texts.append(" ".join(draw(int(rng.integers(0, 12))) + w + draw(int(rng.integers(0, 12)))))
+    # ten pieces of five words at different shifts are no passage
+    long = items[7].split()
+    texts += [" ".join(" ".join(long[k : k + 5]) + " zeta" * (k % 7 + 1) for k in range(0, 50, 5)), items[0], items[3], None, "", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    cut = lambda frame, key: [(r["c"], r["v"]) for r in frame.select(key, decontaminate._tokens(F.coalesce("text", F.lit(""))).alias("v")).withColumn("c", decontaminate._kinds(F.col("v"))).orderBy(key).collect()]
+    want = plain_matches(cut(df, "doc_id"), cut(bench, "item_id"))
+    assert len(want) > 20
+    for few in (200_000, 0):  # broadcast and shuffled
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, most_broadcast=few).collect()} == want
 
 
 def test_toxicity_marginals():
