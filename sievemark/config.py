@@ -63,11 +63,22 @@ class LinguisticConfig:
     bigram_weight: float = 0.5
     rare_threshold: float = 0.001
     rare_bonus: float = 0.1
+    use_bigrams: bool = True
+
+
+@dataclass(frozen=True)
+class MutualInfoConfig:
+    feature_type: str = "combined"  # linguistic, acoustic or combined
+    bins: int = 32
+    smoothing: float = 1e-10
 
 
 @dataclass(frozen=True)
 class CurationConfig:
     scorer: ScorerConfig = field(default_factory=ScorerConfig)
+    linguistic: LinguisticConfig = field(default_factory=LinguisticConfig)
+    mutual_info: MutualInfoConfig = field(default_factory=MutualInfoConfig)
+    acoustic: AcousticConfig = field(default_factory=AcousticConfig)
     progressive: ProgressiveConfig = field(default_factory=ProgressiveConfig)
 
 
@@ -90,7 +101,14 @@ DOMAINS = {
 # Discourse markers.
 MARKERS = ["um", "uh", "er", "ah", "like", "you know", "i mean", "so", "well", "now", "then", "anyway", "however", "therefore", "maybe", "perhaps", "kind of", "sort of", "probably", "right", "okay", "yeah", "yes", "no", "actually", "basically"]
 # Phonemes by letter; a blank is silence.
-LETTER_PHONEMES = dict(zip("abcdefghijklmnopqrstuvwxyz ", "AH B K D EH F G HH IH JH K L M N OW P K R S T UW V W K Y Z SIL".split(), strict=True))
+LETTER_PHONEMES = {
+    "a": "AH", "b": "B", "c": "K", "d": "D", "e": "EH",
+    "f": "F", "g": "G", "h": "HH", "i": "IH", "j": "JH",
+    "k": "K", "l": "L", "m": "M", "n": "N", "o": "OW",
+    "p": "P", "q": "K", "r": "R", "s": "S", "t": "T",
+    "u": "UW", "v": "V", "w": "W", "x": "K", "y": "Y",
+    "z": "Z", " ": "SIL",
+}
 N_PHONEMES = 41
 # Language families.
 FAMILIES = {"germanic": ["en", "de", "nl", "sv", "da", "no"], "romance": ["es", "fr", "it", "pt", "ro"], "slavic": ["ru", "pl", "cs", "uk", "bg"], "indic": ["hi", "bn", "mr", "ta", "te", "gu"], "sino_tibetan": ["zh", "yue", "my"], "semitic": ["ar", "he", "am"]}

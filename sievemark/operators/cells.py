@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EPSILON
+from ..functions.entropy import edge_count
+from .quantiles import exact_quantiles
+from .shuffles import skew_join
 
 
 @dataclass(frozen=True)
@@ -22,14 +25,12 @@ class CellInformation:
 
     @staticmethod
     def fit(features: DataFrame, names: tuple[str, ...], bins: int = 32, edge_mode: str = "consistent") -> CellInformation:
-        at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-        row = features.agg(*(F.percentile(n, at).alias(n) for n in names)).first()
-        return CellInformation(tuple(names), {n: list(row[n] or [0.0]) for n in names}, bins, edge_mode=edge_mode)
+        edges = exact_quantiles(features, list(names), [i / bins for i in range(bins + 1)])
+        return CellInformation(tuple(names), {n: edges[n] or [0.0] for n in names}, bins, edge_mode=edge_mode)
 
     def _bin(self, name: str, distinct: bool) -> Column:
         edges = sorted(set(self.edges[name])) if distinct else self.edges[name]
-        inner = F.array(*map(F.lit, edges[1:-1])).cast("array<double>")
-        return F.least(F.size(F.filter(inner, lambda e: e <= F.col(name))), F.lit(self.bins - 1)).cast("long")
+        return F.least(edge_count(F.col(name), edges[1:-1]), F.lit(self.bins - 1)).cast("long")
 
     def cell(self, distinct: bool) -> Column:
         cell = F.lit(0).cast("long")
@@ -41,10 +42,10 @@ class CellInformation:
         return features.select(self.cell(True).alias("cell")).groupBy("cell").agg(F.count("*").alias("cnt"))
 
     def transform(self, features: DataFrame) -> DataFrame:
-        """features with mutual_info, in bits."""
+        """features with mutual_info, in bits. features is read several times: settle it first where it is costly."""
         counts = self.counts(features)
         total = features.count()
         placed = features.withColumn("cell", self.cell(self.edge_mode == "consistent"))
         p = (F.coalesce("cnt", F.lit(0)) + self.smoothing) / (total + self.smoothing * self.bins ** len(self.names))
         known = F.when(F.col("cnt").isNull() & (self.edge_mode == "outside"), EPSILON).otherwise(p)
-        return placed.join(counts, "cell", "left").withColumn("mutual_info", -F.log2(known + EPSILON)).drop("cell", "cnt")
+        return skew_join(placed, counts, ["cell"], "cnt", "left").withColumn("mutual_info", -F.log2(known + EPSILON)).drop("cell", "cnt")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FAMILIES, ProgressiveConfig
 from ..functions import text as T
+from ..functions.entropy import with_runs
+from .shuffles import settled, skew_join
 
 
 def schedule(config: ProgressiveConfig) -> list[float]:
@@ -60,41 +63,64 @@ def filter_rounds(df: DataFrame, config: ProgressiveConfig = ProgressiveConfig()
     original, rounds, history = size(0), 0, []
     while original and not _stop(size(rounds), original, rounds, config):
         left, n = over(rounds + 1), size(rounds + 1)
-        history.append({"round": rounds, "threshold": t[rounds], "input_size": size(rounds), "output_size": n, "retention_rate": n / size(rounds) if size(rounds) else 0.0, "mean_score": sum(r["s"] for r in left) / n if n else 0.0, "min_score": min((r["lo"] for r in left), default=0.0), "max_score": max((r["hi"] for r in left), default=0.0)})
+        history.append({"round": rounds, "threshold": t[rounds], "input_size": size(rounds), "output_size": n, "retention_rate": n / size(rounds) if size(rounds) else 0.0, "mean_score": sum(r["s"] for r in left) / n if n else 0.0, "min_score": min((r["lo"] for r in left), default=0.0), "max_score": max((r["hi"] for r in left), default=0.0), "error_aware": False, "known_features_count": 0})
         rounds += 1
     kept = marked.where(F.col("_death") >= rounds).drop("_death")
     return kept, CurationStats(rounds, original, size(rounds), size(rounds) / original if original else 0.0, t[rounds], history, [])
 
 
-def filter_with_callbacks(df: DataFrame, config: ProgressiveConfig, train: Callable[[DataFrame, int], object] | None = None, evaluate: Callable[[object, DataFrame], DataFrame] | None = None, known_languages: list[str] | None = None) -> tuple[DataFrame, CurationStats]:
-    """The loop form: scores are adjusted by errors of the model trained in the round before, and each round is checkpointed."""
-    t, known, mastery = schedule(config), list(known_languages or []), {}
+class Scorer(Protocol):
+    """What scores samples in each round: fit is asked for once, where there is one; transform adds `score`."""
+
+    def transform(self, samples: DataFrame) -> DataFrame: ...
+
+
+def filter_with_callbacks(df: DataFrame, config: ProgressiveConfig, train: Callable[[DataFrame, int], object] | None = None, evaluate: Callable[[object, DataFrame], DataFrame] | None = None, known_languages: list[str] | None = None, scorer: Scorer | None = None) -> tuple[DataFrame, CurationStats]:
+    """The loop form: scores are adjusted by errors of the model trained in the round before, and each round is settled.
+
+    train(samples, round) gives a model, evaluate(model, at most 1000 samples) its (sample_id, prediction, reference).
+    A scorer scores what is left anew in each round; without one, df's score stays. Texts are needed for error analysis."""
+    t, known = schedule(config), list(known_languages or [])
+    mastery: dict[str, float] = {}
+    features: set[str] = set()  # mastered bigrams: those seen often and seldom wrong in the 1000 evaluated samples
     errors = rates = None
+    if scorer is not None:
+        scorer = scorer.fit(df) if hasattr(scorer, "fit") else scorer
     original = now = df.count()
     rounds, history = 0, []
     while original and not _stop(now, original, rounds, config):
-        scored = adjusted_scores(df, errors, rates, known, mastery, config) if config.error_analysis else df.withColumn("adjusted", F.col("score"))
-        kept = scored.where(survives(F.col("adjusted"), F.col("sample_id"), t[rounds], rounds, config)).checkpoint()
+        scored = df if scorer is None else scorer.transform(df.drop("score"))
+        scored = adjusted_scores(scored, errors, rates, known, mastery, config) if config.error_analysis else scored.withColumn("adjusted", F.col("score"))
+        kept = settled(scored.where(survives(F.col("adjusted"), F.col("sample_id"), t[rounds], rounds, config)))
         row = kept.agg(F.count("*"), F.avg("adjusted"), F.min("adjusted"), F.max("adjusted")).first()
-        history.append({"round": rounds, "threshold": t[rounds], "input_size": now, "output_size": row[0], "retention_rate": row[0] / now if now else 0.0, "mean_score": row[1] or 0.0, "min_score": row[2] or 0.0, "max_score": row[3] or 0.0})
+        history.append({"round": rounds, "threshold": t[rounds], "input_size": now, "output_size": row[0], "retention_rate": row[0] / now if now else 0.0, "mean_score": row[1] or 0.0, "min_score": row[2] or 0.0, "max_score": row[3] or 0.0, "error_aware": errors is not None, "known_features_count": len(mastery) + len(features)})
         df, now = kept.drop("adjusted"), row[0]
         model = train(df, rounds) if train else None
         if train and "language" in df.columns:
             seen = df.where("language is not null").groupBy("language").agg(F.min("sample_ord").alias("o")).orderBy("o").collect()
             known += [r["language"] for r in seen if r["language"] not in known]
         if model is not None and evaluate and config.error_analysis:
-            pairs = evaluate(model, df.orderBy("sample_ord").limit(1000)).join(df.select("sample_id", "language"), "sample_id")
-            errors, rates = error_bigrams(pairs), language_error_rates(pairs)
-            mastery |= {r["language"]: 1 - r["wer"] for r in rates.where("wer < 0.1").collect()}
+            some = df.orderBy("sample_ord").limit(1000)
+            language = F.col("language") if "language" in df.columns else F.lit(None).cast("string").alias("language")
+            pairs = settled(evaluate(model, some).join(df.select("sample_id", language), "sample_id"))
+            errors, rates = settled(error_bigrams(pairs)), settled(language_error_rates(pairs))
+            mastery |= known_languages_of(rates)
+            if "transcription" in df.columns:
+                counts = bigram_counts(some).groupBy("bigram").agg(F.sum("n").alias("cnt"))
+                features |= {r["bigram"] for r in known_ngrams(counts, errors).collect()}
         rounds += 1
     return df, CurationStats(rounds, original, now, now / original if original else 0.0, t[rounds], history, known)
 
 
+def known_languages_of(rates: DataFrame, below: float = 0.1) -> dict[str, float]:
+    """Mastery of the languages (one row each) whose error rate is below 10 %."""
+    return {r["language"]: 1 - r["wer"] for r in rates.where(F.col("wer") < below).collect()}
+
+
 def _sides(pairs: DataFrame) -> DataFrame:
-    """Both texts' words p and r, and the words of r that p lacks. The exchange keeps Spark from computing them anew for each
-    element of an array."""
+    """sample_id, language, the words p and r of both texts, and the words of r that p lacks."""
     sides = pairs.withColumn("p", T.spaced_words(T.text_of("prediction"))).withColumn("r", T.spaced_words(T.text_of("reference")))
-    return sides.withColumn("missing", F.array_except("r", "p")).select("sample_id", "language", "p", "r", "missing").repartition("sample_id")
+    return sides.withColumn("missing", F.array_except("r", "p")).select("sample_id", "language", "p", "r", "missing")
 
 
 def error_counts(pairs: DataFrame) -> DataFrame:
@@ -105,12 +131,20 @@ def error_counts(pairs: DataFrame) -> DataFrame:
 
 
 def error_bigrams(pairs: DataFrame) -> DataFrame:
-    """Reference bigrams one of whose words the prediction lacks -> bigram, cnt."""
-    gone = lambda w: F.array_contains("missing", w)
-    n = F.size("r") - 1
-    grams = F.when(n > 0, F.zip_with(F.slice("r", F.lit(1), n), F.slice("r", F.lit(2), n), lambda a, b: F.struct(F.concat_ws(" ", a, b).alias("bigram"), (gone(a) | gone(b)).alias("wrong"))))
-    rows = _sides(pairs).select(F.explode_outer(grams).alias("g"))
-    return rows.where("g.wrong").groupBy(F.col("g.bigram").alias("bigram")).agg(F.count("*").alias("cnt"))
+    """Reference bigrams one of whose words the prediction lacks -> bigram, cnt.
+
+    The places of missing words come from one sort of a text's words together with its missing ones: where a run of equal
+    words begins with a mark of a missing one, all its places are wrong. A text costs n log n."""
+    word = lambda w, at: F.struct(w.alias("w"), at.alias("at"))
+    both = F.sort_array(F.concat(F.transform("missing", lambda w: word(w, F.lit(-1))), F.transform("r", word)))
+    sides = _sides(pairs).withColumn("_all", both).withColumn("_words", F.transform("_all", lambda x: x["w"]))
+    sides = with_runs(sides, "_words", "_runs")
+    marked = F.filter("_runs", lambda x: F.get("_all", x["at"])["at"] == -1)
+    sides = sides.withColumn("_wrong", F.flatten(F.transform(marked, lambda x: F.transform(F.slice("_all", x["at"] + 2, x["n"] - 1), lambda y: y["at"]))))
+    starts = F.array_distinct(F.concat("_wrong", F.transform("_wrong", lambda i: i - 1)))
+    sides = sides.withColumn("_starts", F.filter(starts, lambda i: (i >= 0) & (i < F.size("r") - 1)))
+    grams = F.transform("_starts", lambda i: F.concat_ws(" ", F.get("r", i), F.get("r", i + 1)))
+    return sides.select(F.explode(grams).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("cnt"))
 
 
 def language_error_rates(pairs: DataFrame) -> DataFrame:
@@ -118,11 +152,19 @@ def language_error_rates(pairs: DataFrame) -> DataFrame:
     return _sides(pairs).where("language is not null").groupBy("language").agg(F.avg(wer).alias("wer"))
 
 
+def bigram_counts(df: DataFrame) -> DataFrame:
+    """sample_id, bigram, n: a text's bigrams, counted within the row before anything is shuffled."""
+    words = df.select("sample_id", T.spaced_words(T.text_of()).alias("_w"))
+    out = with_runs(words.withColumn("_sorted", F.sort_array(T.bigrams(F.col("_w")))), "_sorted", "_runs")
+    return out.select("sample_id", F.explode("_runs").alias("x")).select("sample_id", F.col("x.item").alias("bigram"), F.col("x.n").cast("long").alias("n"))
+
+
 def error_relevance(df: DataFrame, errors: DataFrame, rates: DataFrame) -> DataFrame:
     """sample_id, relevance: a tenth for each counted error bigram of the text plus its language's rate, at most 1."""
-    words = df.select("sample_id", T.spaced_words(T.text_of()).alias("w"))
-    grams = words.select("sample_id", F.explode_outer(T.bigrams(F.col("w"))).alias("bigram")).where("bigram is not null")
-    hits = grams.join(errors, "bigram").groupBy("sample_id").agg((F.sum("cnt") * 0.1).alias("hits"))
+    grams, errors = settled(bigram_counts(df)), settled(errors)
+    # how many texts have it tells which bigrams are too frequent for one task
+    weighed = settled(grams.groupBy("bigram").agg(F.count("*").alias("texts")).join(errors, "bigram"))
+    hits = skew_join(grams, weighed, ["bigram"], "texts").groupBy("sample_id").agg((F.sum(F.col("cnt") * F.col("n")) * 0.1).alias("hits"))
     joined = df.select("sample_id", "language").join(hits, "sample_id", "left").join(rates, "language", "left")
     return joined.select("sample_id", F.least(F.lit(1.0), F.coalesce("hits", F.lit(0.0)) + F.coalesce("wer", F.lit(0.0))).alias("relevance"))
 
@@ -136,7 +178,7 @@ def cross_lingual_overlap(language: Column, known: list[str]) -> Column:
 
 
 def adjusted_scores(df: DataFrame, errors: DataFrame | None, rates: DataFrame | None, known: list[str], mastery: dict[str, float], config: ProgressiveConfig) -> DataFrame:
-    """df with `adjusted`: score + errors + half the family overlap - a tenth of the mastery."""
+    """df with `adjusted`: score + errors + half the family overlap - a tenth of the mastery of the row's language."""
     language = F.col("language") if "language" in df.columns else F.lit(None).cast("string")
     score = F.col("score") + config.cross_lingual_weight * 0.5 * cross_lingual_overlap(language, known)
     for k, m in mastery.items():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScorerConfig
 from ..functions.entropy import scaled
+from .quantiles import exact_quantiles
 
 
 def component_stats(df: DataFrame, names: list[str]) -> dict[str, dict[str, float]]:
@@ -47,10 +48,12 @@ class ScorerModel:
 
 def analyze(df: DataFrame, names: list[str]) -> DataFrame:
     """Long table component, mean, std, min, max, median."""
-    row = df.agg(*(F.struct(F.lit(n).alias("component"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.min(n).alias("min"), F.max(n).alias("max"), F.percentile(n, F.lit(0.5)).alias("median")).alias(n) for n in names))
-    return row.select(F.explode(F.array(*names)).alias("s")).select("s.*")
+    row = df.agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max)))).first()
+    median = exact_quantiles(df, names, [0.5])
+    rows = [(n, *(row[f"{n}_{k}"] for k in ("mean", "std", "min", "max")), *(median[n] or [None])) for n in names]
+    return df.sparkSession.createDataFrame(rows, "component string, mean double, std double, min double, max double, median double")
 
 
 def score_percentiles(df: DataFrame, score: str = "score", at: tuple[int, ...] = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
-    values = df.agg(F.percentile(score, F.array(*(F.lit(p / 100) for p in at))).alias("v"))
-    return values.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("percentile"), F.col("v").alias("value"))).alias("s")).select("s.percentile", "s.value")
+    values = exact_quantiles(df, [score], [p / 100 for p in at])[score] or [None] * len(at)
+    return df.sparkSession.createDataFrame(list(zip(at, values, strict=True)), "percentile int, value double")
