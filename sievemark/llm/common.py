@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shuffles import skew_join
+
 #: Words are maximal runs of anything but blanks and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, the context's checkpoint folder, or, in a local
+    session only (one machine), one of our own. Elsewhere an unset folder raises: executors would write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sievemark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -35,13 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
+def discard(*frames: DataFrame) -> None:
     """Delete what written() wrote; only for tables that no later plan reads."""
-    path = getattr(df, "_sievemark_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    for df in frames:
+        path = getattr(df, "_sievemark_path", None)
+        if path:
+            spark = df.sparkSession
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,21 +69,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); component is its smallest node.
 
     Alternates large-star and small-star rewiring until nothing changes; every round is a few aggregates whose
-    result is written out, so no component is ever gathered in a task, and paths shrink to stars in few rounds.
+    result is written out, so no component is ever gathered in a task, and paths shrink to stars in few rounds. The node at
+    the heart of a large star meets its edges as a broadcast row (skew_join), so it is no task of its own.
     An empty edge table gives an empty result. Self loops are ignored. Components that haven't settled in max_rounds raise.
     """
-    spark = edges.sparkSession
     stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")).select("u", F.least("u", "m").alias("m"), "edges")
+        least = written(least, "least")
+        large = skew_join(both, least, ["u"], "edges").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
+        # every edge leads down now: a node's edges are few unless many small nodes share it
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")), "lower")
+        small = skew_join(large, lower, ["u"], "edges").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = written(small, "edges")
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(stars)
+        discard(stars, least, large, lower)
         stars = after
         if tuple(now) == before:
             break
