@@ -83,7 +83,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float
     known = postings.groupBy("hash").agg(F.max(F.size("slots") > 0).alias("slotted"))
     few = postings.count() <= most_broadcast
     near = F.broadcast if few else lambda df: df
-    tokens = docs.select(*_text_key(), _tokens(F.coalesce("text", F.lit(""))).alias("v")).withColumn("w", _windows(_kinds(F.col("v")), window))
+    tokens = docs.select(*_text_key(), _tokens(F.coalesce("text", F.lit(""))).alias("v")).withColumn("c", _kinds(F.col("v"))).withColumn("w", _windows(F.col("c"), window))
     # an outer explode: Spark would infer a filter from an inner one and compute all tokens again in it
     exploded = tokens.select("h1", "h2", "v", F.posexplode_outer("w").alias("pos", "hash"))
     values = F.slice("v", F.col("pos") + 1, window)
