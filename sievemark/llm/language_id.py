@@ -6,7 +6,8 @@ texts as one sparse matrix (one unit entry for each n-gram, rows delimited by of
 
 Edge cases: a null text, or one without letters, is `und` with score 0; without any training row every text is;
 null languages never train; ties go to the language that sorts first; repeated rows are scored one by one; very
-long texts are scored whole, in pieces that overlap by the n-gram length; other columns of the input are ignored.
+long texts are scored whole, in pieces in which every n-gram begins once; with many languages there are fewer buckets, so
+that the matrix keeps its size; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -61,10 +62,10 @@ def bucketed(f: np.ndarray, n: int, buckets: int) -> np.ndarray:
     return h
 
 
-def pieces(texts: list[str], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(folded codes, starts, indices of the texts) for runs of about a million characters.
+def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(folded codes, starts, indices of the texts) for runs of about a million characters, each text framed by blanks.
 
-    Each text is framed by blanks. A longer text alone makes several pieces, cut at fixed places of its own."""
+    Texts over _PIECE characters are left to `long_text`."""
     def packed(batch: list[tuple[int, str]]):
         codes = np.frombuffer("".join(f" {t}  " for _, t in batch).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         starts = np.cumsum([0, *(len(t) + 3 for _, t in batch)])[:-1]
@@ -73,8 +74,6 @@ def pieces(texts: list[str], overlap: int) -> Iterator[tuple[np.ndarray, np.ndar
     batch, held = [], 0
     for i, t in enumerate(texts):
         if len(t) > _PIECE:
-            for at in range(0, len(t), _PIECE):
-                yield packed([(i, t[max(0, at - overlap + 1) : at + _PIECE])])
             continue
         batch.append((i, t))
         held += len(t)
@@ -85,11 +84,26 @@ def pieces(texts: list[str], overlap: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield packed(batch)
 
 
+def long_text(text: str, orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, bool]:
+    """(how often each bucket occurs in the framed text, whether it has letters): every n-gram begins in one piece."""
+    counts, seen = np.zeros(buckets + 1, dtype=np.int64), False
+    whole = f" {text}  "
+    for at in range(0, len(whole), _PIECE):
+        f = letters(np.frombuffer(whole[at : at + _PIECE + max(orders) - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+        seen = seen or bool(f.any())
+        for n in orders:
+            part = f[: _PIECE + n - 1]
+            if len(part) >= n:
+                counts += np.bincount(bucketed(part, n, buckets), minlength=buckets + 1)
+    return counts, seen
+
+
 def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float]]:
     langs, buckets = len(model.languages), model.log_prob.shape[1] - 1
     total, seen = np.zeros((len(texts), max(langs, 1))), np.zeros(len(texts), dtype=bool)
     if langs:
-        for f, starts, which in pieces([t or "" for t in texts], max(model.orders)):
+        whole = [t or "" for t in texts]
+        for f, starts, which in pieces(whole):
             seen[which] |= np.maximum.reduceat(f, starts) > 0
             for n in model.orders:
                 if len(f) < n:
@@ -98,17 +112,22 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], l
                 at = np.minimum(starts, len(h) - 1)
                 for k in range(langs):
                     total[which, k] += np.add.reduceat(model.log_prob[k][h], at)
+        for i, t in enumerate(whole):
+            if len(t) > _PIECE:
+                counts, seen[i] = long_text(t, model.orders, buckets)
+                total[i] += model.log_prob @ counts
         total += model.log_prior
     best = total.argmax(axis=1)
     score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
     return [model.languages[b] if s else UNDETERMINED for b, s in zip(best, seen, strict=True)], [round(float(x), 9) if s else 0.0 for x, s in zip(score, seen, strict=True)]
 
 
-def train(docs: DataFrame, may_train: Column, docs_per_language: int = 1500, buckets: int = 1 << 16, orders: tuple[int, ...] = (2, 3), smoothing: float = 0.5, max_languages: int = 1000) -> LanguageModel:
+def train(docs: DataFrame, may_train: Column, docs_per_language: int = 1500, buckets: int = 1 << 16, orders: tuple[int, ...] = (2, 3), smoothing: float = 0.5, max_languages: int = 10_000, most_cells: int = 1 << 24) -> LanguageModel:
     """Fit on rows where may_train holds and lang is not null.
 
     At most about `docs_per_language` rows of a language are read (hash-chosen in proportion, so that the sample's
-    size doesn't follow the corpus). The sample's counts have at most languages x buckets rows."""
+    size doesn't follow the corpus). The sample's counts have at most languages x buckets rows, and where that would be
+    more than `most_cells` (128 MB of log-probabilities) there are fewer buckets. More than max_languages raise."""
     rows = docs.where(may_train & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").count().limit(max_languages + 1).collect()
     if len(sizes) > max_languages:
@@ -116,6 +135,7 @@ def train(docs: DataFrame, may_train: Column, docs_per_language: int = 1500, buc
     if not sizes:
         return LanguageModel([], np.zeros(0), np.zeros((0, buckets + 1)), orders)
     sizes = {r["lang"]: r["count"] for r in sorted(sizes)}
+    buckets = min(buckets, most_cells // len(sizes))
     part = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_language / n)))))
     sample = rows.where(unit_hash(F.col("doc_id"), F.col("text"), seed=11) < part[F.col("lang")]).select("lang", "text")
 
@@ -123,7 +143,11 @@ def train(docs: DataFrame, may_train: Column, docs_per_language: int = 1500, buc
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             lang, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for f, starts, which in pieces([t or "" for t in text], max(orders)):
+            for i, t in enumerate(text):
+                if t and len(t) > _PIECE:
+                    sums.setdefault(lang[i], np.zeros(buckets + 1, dtype=np.int64))
+                    sums[lang[i]] += long_text(t, orders, buckets)[0]
+            for f, starts, which in pieces([t or "" for t in text]):
                 ends = [*starts[1:], len(f)]
                 for i, s, e in zip(which, starts, ends, strict=True):
                     into = sums.setdefault(lang[i], np.zeros(buckets + 1, dtype=np.int64))

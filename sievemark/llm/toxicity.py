@@ -3,13 +3,14 @@
 Training reads a bounded, hash-chosen sample of labelled documents, whole. Words (or beginnings of words) that stand far more
 often in toxic documents than in others give token labels: such a word in a toxic document is toxic, any other token is not,
 and all tokens of clean documents are not. A two-state chain is fitted to these labels by gradient ascent on its exact
-log-likelihood; features of a token are itself, its first four and five letters, and its neighbours. Forward-backward
-marginals are computed for many documents at once, each a lane of one array. A logistic curve over the log-odds
+log-likelihood: emission weights (features of a token are itself, its first four and five letters, and its neighbours) by gold
+minus marginals, transition weights by gold minus pairwise marginals. Forward-backward marginals are computed for many documents at once, each a lane of one array. A logistic curve over the log-odds
 of the largest marginal and the log of the expected number of toxic tokens, fitted on the sample, makes them a score.
 
 Edge cases: null and empty texts score as a document without toxic tokens; without labels (or with one class only) every
-score is the share of toxic labels seen, 0 if none; null labels never train; repeated label rows count as often as
-they stand; documents without a label are scored alike; texts over `LANE` tokens are cut into lanes with
+score is the share of toxic labels seen, 0 if none; null labels never train; repeated label rows count once, contrary ones
+both; of documents that share an id the text of least hash trains; documents without a label are scored alike; offsets are
+those of the text as it is; texts over `LANE` tokens are cut into lanes with
 margins of 64 tokens, behind which a two-state chain has forgotten where it began; other columns are ignored.
 """
 
@@ -46,7 +47,9 @@ class ToxicityModel:
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    """Lower-case words, one for each word of the text as it is (lower case may be longer, and would split there)."""
+    low = text.lower()
+    return _TOKEN.findall(low) if len(low) == len(text) else [w.lower() for w in _TOKEN.findall(text)]
 
 
 class _Emissions:
@@ -95,8 +98,10 @@ def _lanes(e: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         at = end
 
 
-def marginals(e: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """P(toxic) of every token by forward-backward, over lanes of documents in lockstep."""
+def marginals(e: np.ndarray, sizes: np.ndarray, transition: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    """P(toxic) of every token by forward-backward, over lanes of documents in lockstep.
+
+    pairs (2 x 2), if given, gets the expected number of neighbouring tokens in each two states added to it."""
     out = np.zeros(len(e))
     t = transition
     low, high = np.logaddexp, t
@@ -121,6 +126,12 @@ def marginals(e: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> np.nd
         column = np.arange(steps)[:, None]
         mine = (column >= keep[None, :]) & (column < stop[None, :])
         out[grid.T[mine]] = p[mine]
+        if pairs is not None and steps > 1:
+            inner = mine[1:]  # a pair belongs to its second token; a lane's first token has none, or its margin's
+            left, right = forward[:-1][inner], (x[1:] + backward[1:])[inner]
+            weights = np.stack([a * left + t[a, b] + b * right for a in (0, 1) for b in (0, 1)])
+            weights = np.exp(weights - weights.max(axis=0))
+            pairs += (weights / weights.sum(axis=0)).sum(axis=1).reshape(2, 2)
     return out
 
 
@@ -210,17 +221,19 @@ def fit(sample: list[tuple[str, int]], prior: float | None = None, rounds: int =
         seen += np.bincount(2 * g[pair - 1] + g[pair], minlength=4)
         batches.append((flat, sizes, g, pair.astype(np.int32)))
     seen = seen.reshape(2, 2)
-    # transitions have a closed form close to their optimum: smoothed log-frequencies, normalised by state
+    # transitions start from smoothed log-frequencies
     model.transition = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True))
+    moved = np.zeros((2, 2))
     weight, speed = np.zeros(none + 1), np.zeros(none + 1)
     for _ in range(rounds):  # gradient of the log-likelihood: gold minus marginal, by feature; Adagrad steps
         of_word, of_near = weight[own].sum(axis=1), weight[beside]
         slope, total, mine, theirs = np.zeros(none + 1), 0.0, np.zeros(len(kinds)), np.zeros(len(kinds))
+        expected = np.zeros((2, 2))
         for flat, sizes, g, pair in batches:
             e = weight[0] + of_word[flat]
             e[pair] += of_near[flat[pair - 1]]
             e[pair - 1] += of_near[flat[pair]]
-            error = g - marginals(e, sizes, model.transition)
+            error = g - marginals(e, sizes, model.transition, expected)
             total += error.sum()
             mine += np.bincount(flat, weights=error, minlength=len(kinds))
             theirs += np.bincount(flat[pair - 1], weights=error[pair], minlength=len(kinds))
@@ -231,6 +244,9 @@ def fit(sample: list[tuple[str, int]], prior: float | None = None, rounds: int =
         slope[0], slope[none] = total, 0.0
         speed += slope * slope
         weight += slope / np.sqrt(speed + 1e-9) * 1.0
+        turn = seen - expected - 0.05 * model.transition
+        moved += turn * turn
+        model.transition = model.transition + 0.2 * turn / np.sqrt(moved + 1e-9)
     for (kind, k), i in index.items():
         if kind == "bias":
             model.bias = float(weight[i])
@@ -257,16 +273,17 @@ def fit(sample: list[tuple[str, int]], prior: float | None = None, rounds: int =
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> tuple[list[tuple[str, int]], float]:
     """(text, label) of at most about per_class labelled training documents of each label, chosen by hash; the
     share of toxic ones among all training labels."""
-    known = labels.where(F.col("toxic").isin(0, 1)).where(fold() != 2).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("toxic").isin(0, 1)).where(fold() != 2).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").distinct()
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes:
         return [], 0.0
     part = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_class / n)))))
     chosen = known.where(unit_hash(F.col("doc_id"), seed=31) < part[F.col("toxic")])
-    # a few thousand ids by construction, whatever the corpus
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    # a few thousand ids by construction, whatever the corpus; one text of each
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     share = sizes.get(1, 0) / sum(sizes.values())
-    return [(r["text"] or "", r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))], share
+    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["toxic"]))], share
 
 
 def tag_toxic(docs: DataFrame, model: ToxicityModel, span_threshold: float = 0.5) -> DataFrame:
@@ -292,12 +309,8 @@ def tag_toxic(docs: DataFrame, model: ToxicityModel, span_threshold: float = 0.5
                     ends = np.cumsum(sizes)
                     for i in np.unique(np.searchsorted(ends, hot, side="right")).tolist():
                         mine = p[ends[i] - sizes[i] : ends[i]]
-                        # lower case may change lengths: offsets are told in the text as it is where they agree
                         places = [m.span() for m in _TOKEN.finditer(raw[i])]
-                        if len(places) == len(mine):
-                            spans[i] = [{"start": s, "end": e, "p": float(q)} for (s, e), q in zip(places, mine, strict=True) if q >= span_threshold]
-                        else:
-                            spans[i] = [{"start": m.start(), "end": m.end(), "p": float(q)} for m, q in zip(_TOKEN.finditer(raw[i].lower()), mine, strict=True) if q >= span_threshold]
+                        spans[i] = [{"start": s, "end": e, "p": float(q)} for (s, e), q in zip(places, mine, strict=True) if q >= span_threshold]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(np.round(score, 9), pa.float64()), pa.array(spans, span_type)], ["doc_id", "score", "spans"])
                 at = end
 

@@ -365,3 +365,197 @@ def test_encoder_equals_the_library():
     ends = np.cumsum(sizes)
     for t, e, n in zip(texts, ends, sizes, strict=True):
         assert flat[e - n : e].tolist() == encoder.library.encode(t, add_special_tokens=False).ids + [0], repr(t)
+
+
+def plain_base(text):
+    """The base rules as they are written: leftmost matches that don't overlap, failing ones dropped without a retry."""
+    def luhn(m):
+        d = [int(c) for c in m if c.isdigit()]
+        twice = [x * 2 - 9 * (x > 4) for x in d[-2::-2]]
+        return 12 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(twice)) % 10 == 0
+
+    rules = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", luhn),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= sum(c in "0123456789" for c in m) <= 15),
+    ]
+    return sorted((m.start(), k, m.end()) for k, (rule, holds) in enumerate(rules) for m in re.finditer(rule, text) if holds(m.group()))
+
+
+def test_base_spans_against_the_rules():
+    rng = np.random.default_rng(21)
+    parts = ["a", "b.c", "@", ".", "-", "+", "1", "12", "255", "256", "0", " ", "(", ")", "4111 1111 1111 1111", "4111111111111111", "@x.de", "a@b.c", "1.2.3.4", "+1 (988) 555-2485", "é", "_", "%", "٣", "\n"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts, rng.integers(0, 12)))
+        assert personal_data.base_spans(t) == plain_base(t), repr(t)
+
+
+def test_candidates_are_linear_and_whole():
+    text = "漢" * 300_000 + "7" + "字" * 300_000 + " x1 'y2'=z3 q"
+    assert list(personal_data.candidates(text)) == [(0, 600_001), (600_002, 600_004), (600_006, 600_008), (600_010, 600_012)]
+    assert len(list(personal_data.candidates("a1" * 200_000))) == 1
+
+
+def test_keys_are_found_by_their_context(spark):
+    rng = np.random.default_rng(2)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    rows = [(i, f"some words then token = \"{key()}\" and more words", None) for i in range(40)]
+    rows += [(50, 'here token = "short7key" stands', None), (51, f"a single {key()} among words", None), (52, "version 3.14159 of it", None), (53, None, None)] + [rows[0]] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {}
+    for r in personal_data.find_personal_data(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_context"], r["n_spans"]))
+    assert all(x == (1, 1) for i in range(40) for x in got[i]) and len(got[0]) == 3
+    assert got[50] == [(1, 1)] and got[51] == got[52] == got[53] == [(0, 0)]
+
+
+def test_pattern_scores_against_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    edges = {(int(p), int(i)): bool(i % 3 == 0) for p, i in rng.integers(0, [12, 60], (300, 2))}
+    belief = {i: float(i % 3 == 0) for _, i in edges}
+    for turn in range(3):
+        found = {}
+        for p in {p for p, _ in edges}:
+            mine = [belief[i] for q, i in edges if q == p]
+            found[p] = sum(mine) / (len(mine) + 1)
+        if turn < 2:
+            belief = {i: max(float(i % 3 == 0), max(found[p] for p, j in edges if j == i)) for i in belief}
+    df = written(spark.createDataFrame([(p, i, s, 1) for (p, i), s in edges.items()], "pattern long, instance long, seed boolean, times long"), "test")
+    got = {r["pattern"]: r["confidence"] for r in personal_data.pattern_scores(df).collect()}
+    assert got == pytest.approx(found)
+
+
+def plain_bayes(sample, texts, orders=(2, 3), buckets=1 << 16, smoothing=0.5):
+    """Naive Bayes over the same buckets, n-gram by n-gram."""
+    def grams(t):
+        f = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else 0 for c in f" {t}  "]
+        for n in orders:
+            for k in range(len(f) - n + 1):
+                g = f[k : k + n]
+                if not any(a == b == 0 for a, b in zip(g, g[1:], strict=False)):
+                    yield int(language_id.bucketed(np.array(g, dtype=np.uint32), n, buckets)[0])
+
+    languages = sorted({lang for _, lang in sample})
+    counts = {lang: Counter(g for t, x in sample if x == lang for g in grams(t)) for lang in languages}
+    total = {lang: sum(c.values()) + smoothing * buckets for lang, c in counts.items()}
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        score = {lang: np.log(sum(x == lang for _, x in sample) / len(sample)) + sum(np.log((counts[lang][g] + smoothing) / total[lang]) for g in grams(t)) for lang in languages}
+        best = max(languages, key=lambda x: score[x])
+        out.append((best, 1 / sum(np.exp(v - score[best]) for v in score.values())))
+    return out
+
+
+def test_language_id_against_a_plain_version(spark):
+    rng = np.random.default_rng(31)
+    word = {"en": "the house and garden of a king".split(), "de": "das haus und der garten ein König".split(), "fr": "la maison et le jardin été".split()}
+    draw = lambda k, n: " ".join(rng.choice(word[k], n))
+    sample = [(draw(k, 6), k) for k in ("en", "de", "fr") for _ in range(12)]
+    texts = [draw(k, n) for k in word for n in (1, 2, 5)] + ["", None, "123 -- 4", "x", "KÖNIG İst", "the haus", "a\n\nthe  garden"]
+    rows = [(i, t, k) for i, (t, k) in enumerate(sample)] + [(100 + i, t, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string, lang string")
+    model = language_id.train(df, F.lit(True))
+    got = [(r["lang_pred"], r["score"]) for r in language_id.identify(df.where("doc_id >= 100"), model).orderBy("doc_id").collect()]
+    want = plain_bayes(sample, [*texts, texts[-1]])
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-8)
+
+
+def test_language_id_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(32)
+    model = language_id.LanguageModel(["a", "b"], np.log([0.5, 0.5]), np.append(np.log(rng.dirichlet(np.ones(5000), 2)), np.zeros((2, 1)), axis=1))
+    texts = ["".join(rng.choice(list("abc  1é"), n)) for n in (0, 3, 199, 200, 201, 5000)]
+    want = language_id.predict(model, texts)
+    monkeypatch.setattr(language_id, "_PIECE", 200)
+    got = language_id.predict(model, texts)
+    assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-9)
+
+
+def test_language_id_ties_and_many_languages(spark):
+    rows = [(i, "same words", lang) for i, lang in enumerate(["b", "a", "b", "a"])] + [(9, "same words", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, F.lit(True), most_cells=2000)
+    assert model.log_prob.shape == (2, 1001)
+    assert {r["lang_pred"] for r in language_id.identify(df, model).collect()} == {"a"}
+
+
+def test_toxicity_pairs_against_enumeration():
+    rng = np.random.default_rng(6)
+    e, t = rng.normal(size=11), rng.normal(size=(2, 2))
+    sizes, want = np.array([6, 0, 5]), np.zeros((2, 2))
+    for at, n in ((0, 6), (6, 5)):
+        total, mine = 0.0, np.zeros((2, 2))
+        for code in range(1 << n):
+            y = [(code >> k) & 1 for k in range(n)]
+            p = np.exp(sum(e[at + k] * y[k] for k in range(n)) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += p
+            for a, b in zip(y, y[1:], strict=False):
+                mine[a, b] += p
+        want += mine / total
+    pairs = np.zeros((2, 2))
+    toxicity.marginals(e, sizes, t, pairs)
+    assert pairs == pytest.approx(want)
+    # the same in lanes shorter than the text
+    long, whole, cut = rng.normal(size=600), np.zeros((2, 2)), np.zeros((2, 2))
+    toxicity.marginals(long, np.array([600]), t, whole)
+    lane, toxicity.LANE = toxicity.LANE, 100
+    toxicity.marginals(long, np.array([600]), t, cut)
+    toxicity.LANE = lane
+    assert cut == pytest.approx(whole, abs=1e-6) and whole.sum() == pytest.approx(599)
+
+
+def test_toxicity_of_odd_tables(spark):
+    schema = "doc_id long, text string, score string"
+    docs = spark.createDataFrame([(1, "İİ you idiot", None), (2, None, "x"), (2, None, "x"), (None, "a calm day", None)], schema)
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int, quality int")
+    assert toxicity.labelled_sample(docs, labels([])) == ([], 0.0)
+    sample, share = toxicity.labelled_sample(docs, labels([(2, 1, 0), (2, 1, 1), (None, 1, 0), (1, None, 0)]))
+    assert sample in ([("", 1)], []) and share in (1.0, 0.0)
+    for rows, want in (([], 0.0), ([("x", 1)], 1.0), ([("x", 0)], 0.0)):
+        got = toxicity.tag_toxic(docs, toxicity.fit(rows)).collect()
+        assert len(got) == 4 and all(abs(r["score"] - want) < 1e-6 for r in got)
+    assert toxicity.tag_toxic(docs.limit(0), toxicity.fit([])).count() == 0
+    model = toxicity.fit([("you idiot", 1)] * 30 + [("you calm one", 0)] * 30)
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in toxicity.tag_toxic(docs, model).collect()}
+    assert spans[1] == [(7, 12)]
+
+
+def test_toxicity_held_out(spark):
+    rng = np.random.default_rng(7)
+    calm = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(rng.choice(calm, rng.integers(5, 60))) + (" you utter idiot" if i % 5 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    tagged = toxicity.tag_toxic(docs, toxicity.fit(*toxicity.labelled_sample(docs, labels))).withColumn("held", toxicity.fold() == 2).collect()
+    held = [r for r in tagged if r["held"]]
+    assert len(held) > 60 and sum((r["score"] >= 0.3) == (r["doc_id"] % 5 == 0) for r in held) / len(held) > 0.97
+
+
+def test_fingerprints_agree_as_often_as_jaccard(spark):
+    rng = np.random.default_rng(41)
+    vocabulary = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 80, p=rng.dirichlet(np.ones(60) * 0.3)))) for i in range(40)]
+    rows += [(100 + i, t) for i, t in rows[:20]] + [(200, None), (201, ""), (None, "w1 w2"), (5, "another text of an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.fingerprint_documents(df, samples=128).collect()
+    assert len(got) == len(rows)
+    weights = lambda t: {w: 1 + np.log(n) for w, n in Counter((t or "").split()).items()}
+
+    def likeness(a, b):
+        x, y = weights(a), weights(b)
+        keys = x.keys() | y.keys()
+        return sum(min(x.get(k, 0), y.get(k, 0)) for k in keys) / sum(max(x.get(k, 0), y.get(k, 0)) for k in keys) if keys else 1.0
+
+    once = {i: t for i, t in rows if i is not None and i != 5}
+    order = sorted(once)
+    errors = []
+    for k, i in enumerate(order[6:-3], 6):
+        nxt, t = once[order[k + 1]], once[i]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + nxt[:q]
+        r = next(r for r in got if r["doc_id"] == i)
+        errors += [r["near_next"] - likeness(t, nxt), r["near_edited"] - likeness(t, edited)]
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
