@@ -56,7 +56,18 @@ def formatted(results: DataFrame, kind: str) -> Column:
 
 
 def append_text(results: DataFrame, kind: str, path: str) -> None:
-    results.orderBy("file").select(formatted(results, kind).alias("value")).coalesce(1).write.mode("append").text(path)
+    """Formatted results as text files that follow each other, and hold their results, in the order of `file`."""
+    ordered = results.withColumn("value", formatted(results, kind)).repartitionByRange("file").sortWithinPartitions("file")
+    ordered.select("value").write.mode("append").text(path)
+
+
+def show_text(results: DataFrame, kind: str, out=None) -> None:
+    """Formatted results to a text stream (standard output), in the order of `file`; one partition at a time is held."""
+    import sys
+
+    into = out or sys.stdout
+    for row in results.withColumn("value", formatted(results, kind)).orderBy("file").select("value").toLocalIterator():
+        print(row["value"], file=into)
 
 
 def rtf(inference: Column, audio: Column) -> Column:

@@ -144,7 +144,9 @@ def error_bigrams(pairs: DataFrame) -> DataFrame:
     starts = F.array_distinct(F.concat("_wrong", F.transform("_wrong", lambda i: i - 1)))
     sides = sides.withColumn("_starts", F.filter(starts, lambda i: (i >= 0) & (i < F.size("r") - 1)))
     grams = F.transform("_starts", lambda i: F.concat_ws(" ", F.get("r", i), F.get("r", i + 1)))
-    return sides.select(F.explode(grams).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("cnt"))
+    # an outer explode: from an inner one Spark infers a filter and computes all arrays again in it
+    rows = sides.select(grams.alias("_grams")).select(F.explode_outer("_grams").alias("bigram")).where("bigram is not null")
+    return rows.groupBy("bigram").agg(F.count("*").alias("cnt"))
 
 
 def language_error_rates(pairs: DataFrame) -> DataFrame:
@@ -156,7 +158,8 @@ def bigram_counts(df: DataFrame) -> DataFrame:
     """sample_id, bigram, n: a text's bigrams, counted within the row before anything is shuffled."""
     words = df.select("sample_id", T.spaced_words(T.text_of()).alias("_w"))
     out = with_runs(words.withColumn("_sorted", F.sort_array(T.bigrams(F.col("_w")))), "_sorted", "_runs")
-    return out.select("sample_id", F.explode("_runs").alias("x")).select("sample_id", F.col("x.item").alias("bigram"), F.col("x.n").cast("long").alias("n"))
+    rows = out.select("sample_id", F.explode_outer("_runs").alias("x")).where("x is not null")
+    return rows.select("sample_id", F.col("x.item").alias("bigram"), F.col("x.n").cast("long").alias("n"))
 
 
 def error_relevance(df: DataFrame, errors: DataFrame, rates: DataFrame) -> DataFrame:

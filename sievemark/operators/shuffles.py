@@ -18,14 +18,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """left joined (inner or left) to right, which has one row for each key and in `weight` the number of left's rows with it.
 
     Keys that hold over a quarter of a mean partition's rows meet their row of right as a broadcast; there are fewer than four
     times as many as shuffle partitions, by counting. The others are joined by a shuffle. Both tables are read more than
-    once and must be the same each time."""
+    once and must be the same each time. total: the sum of `weight`, where it is known."""
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    total = (right.agg(F.sum(weight)).first()[0] or 0) if total is None else total
     heavy = right.where(F.col(weight) * (4 * parts) > total)
     hot = left.join(F.broadcast(heavy), keys, "inner")
     rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")

@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import COMMON_LANGUAGES, DOMAINS, FAMILIES, LETTER_PHONEMES, MARKERS, ProgressiveConfig, ScorerConfig, SelectorConfig
+from ..config import COMMON_LANGUAGES, DOMAINS, FAMILIES, LETTER_PHONEMES, MARKERS, AcousticConfig, CurationConfig, MutualInfoConfig, ProgressiveConfig, ScorerConfig, SelectorConfig
 from ..functions import entropy as E
 from ..functions import subtitles as S
 from ..functions import text as T
-from ..functions.signal import acoustic_entropy, frames, spectral_centroid
+from ..functions.signal import acoustic_entropy, band_edges, frames, spectral_centroid
 from ..operators import features as X
 from ..operators import progressive as P
 from ..operators.cells import CellInformation
 from ..operators.scoring import ScorerModel, analyze, component_stats, score_percentiles
 from ..operators.selection import retention_rate, select
+from ..operators.selection import select_indices as indices
+from ..operators.shuffles import settled
 from ..sources import ingest as I
+from .pipeline import CurationPipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,7 +102,7 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    c = components(spark, sf).persist()  # a few numbers a sample, read by the fit and by the scores
+    c = settled(components(spark, sf))  # a few numbers a sample, read by the fit and by the scores
     return ScorerModel.fit(c, TEXT).transform(c)
 
 
@@ -154,21 +157,12 @@ def dataset_count(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, md5(doc_id::VARCHAR || ':42') AS key, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42')) AS pos FROM documents QUALIFY pos <= 100")
-def shuffle(spark, sf):
-    first = table(spark, sf, "documents").select("doc_id", I.shuffle_key(F.col("doc_id")).alias("key")).orderBy("key").limit(100)
-    from pyspark.sql import Window
-
-    return first.withColumn("pos", F.row_number().over(Window.orderBy("key")).cast("long"))
-
-
 @query("SELECT doc_id, md5(doc_id::VARCHAR || ':42') AS key, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42')) AS pos FROM documents")
-def shuffle_all(spark, sf):
-    """The whole shuffle; the query shuffle and its SQL are its first 100 rows."""
+def shuffle(spark, sf):
     return I.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT doc_id // 32 AS batch, count(*) AS n, min(doc_id) AS first FROM documents WHERE doc_id // 32 < (SELECT count(*) FROM documents) // 32 GROUP BY 1")
+@query("WITH p AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 32 AS batch FROM documents) SELECT batch, count(*) AS n, min(doc_id) AS first FROM p WHERE batch < (SELECT count(*) FROM documents) // 32 GROUP BY 1")
 def batching(spark, sf):
     return I.batches(table(spark, sf, "documents"), "doc_id", 32, drop_last=True).groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
@@ -206,6 +200,29 @@ def g2p(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.phonemes(T.text_of("text")), " ").alias("phonemes"))
 
 
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z ]', '', 'g'), ' '), lambda w: upper(w)), lambda p: list_contains(['A', 'I', 'L', 'LA', 'LE', 'DE'], p)), ' ') AS phonemes FROM documents")
+def phoneme_inventory(spark, sf):
+    """Converter output held to an inventory; the converter here gives upper-case words with a stress digit."""
+    words = F.split(F.regexp_replace(F.lower(T.text_of("text")), "[^a-z ]", ""), " ")
+    raw = F.transform(words, lambda w: F.concat(F.upper(w), F.lit("1")))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.in_inventory(raw, ["A", "I", "L", "LA", "LE", "DE"]), " ").alias("phonemes"))
+
+
+@query("WITH l AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w))[1:448] AS ids FROM documents) SELECT doc_id, len(ids) AS n, list_sum(ids)::BIGINT AS total FROM l")
+def label_truncation(spark, sf):
+    ids = T.truncated(F.transform(F.split("text", " "), lambda w: F.length(w)), 448)
+    out = table(spark, sf, "documents").select("doc_id", ids.alias("ids"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("WITH p AS (SELECT vec_id, embedding AS a, (row_number() OVER (ORDER BY vec_id) - 1) // 32 AS batch FROM embeddings), c AS (SELECT vec_id, batch, a[1:8 + vec_id % 50] AS a FROM p), m AS (SELECT *, max(len(a)) OVER (PARTITION BY batch) AS most FROM c) SELECT vec_id, most::INT AS n, (most - len(a))::BIGINT AS pads FROM m")
+def padded_batches(spark, sf):
+    """Signals of unlike length, padded to the longest of their batch."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding"), F.lit(1), (F.col("vec_id") % 50 + 8).cast("int")).alias("a"))
+    out = I.padded(I.batches(e, "vec_id", 32), "a", -100.0)
+    return out.select("vec_id", F.size("a").alias("n"), F.size(F.filter("a", lambda x: x == -100)).cast("long").alias("pads"))
+
+
 @query(W + UNI + " SELECT sample_id, round(coalesce(unigram, 0), 6) AS unigram FROM d LEFT JOIN uni USING (sample_id)")
 def unigram_entropy(spark, sf):
     d = docs(spark, sf)
@@ -285,10 +302,8 @@ BENCH_FREQ = f"bt AS (SELECT unnest({WORDS}) AS token FROM benchmark), bf AS (SE
 
 @query(W + UNI + ", " + BENCH_FREQ + ", r AS (SELECT DISTINCT sample_id, x FROM t), b AS (SELECT sample_id, count(*) FILTER (coalesce(freq, 0) < 0.001) * 0.1::DOUBLE AS bonus FROM r LEFT JOIN bf ON x = token GROUP BY sample_id) SELECT sample_id, round(coalesce(bonus, 0), 6) AS bonus FROM d LEFT JOIN b USING (sample_id)")
 def rare_word_bonus(spark, sf):
-    tokens = table(spark, sf, "benchmark").select(F.explode_outer(T.tokenize(T.text_of("text"))).alias("token")).where("token is not null")
-    n = tokens.count()
     d = docs(spark, sf)
-    return padded(d, X.rare_word_bonus(d, tokens.groupBy("token").agg((F.count("*") / n).alias("freq"))))
+    return padded(d, X.rare_word_bonus(d, _benchmark_frequencies(spark, sf)))
 
 
 @query(W + UNI + ", " + BI + " SELECT sample_id, round(coalesce(unigram, 0) + 0.5 * coalesce(bigram, 0), 6) AS linguistic FROM d LEFT JOIN uni USING (sample_id) LEFT JOIN bi USING (sample_id)")
@@ -296,6 +311,18 @@ def linguistic_entropy(spark, sf):
     return r6(components(spark, sf).select("sample_id", "linguistic"))
 
 
+def _benchmark_frequencies(spark, sf):
+    tokens = table(spark, sf, "benchmark").select(F.explode_outer(T.tokenize(T.text_of("text"))).alias("token")).where("token is not null")
+    n = tokens.count()
+    return tokens.groupBy("token").agg((F.count("*") / n).alias("freq"))
+
+
+@query(W + UNI + ", " + BI + ", " + BENCH_FREQ + ", r AS (SELECT DISTINCT sample_id, x FROM t), b AS (SELECT sample_id, count(*) FILTER (coalesce(freq, 0) < 0.001) * 0.1::DOUBLE AS bonus FROM r LEFT JOIN bf ON x = token GROUP BY sample_id) SELECT sample_id, round(coalesce(unigram, 0) + 0.5 * coalesce(bigram, 0) + coalesce(bonus, 0), 6) AS linguistic FROM d LEFT JOIN uni USING (sample_id) LEFT JOIN bi USING (sample_id) LEFT JOIN b USING (sample_id)")
+def linguistic_entropy_rare_words(spark, sf):
+    """The bonus for words that are rare in the benchmark is part of the component."""
+    return r6(X.linguistic_entropy(docs(spark, sf), common=X.common_tokens(_benchmark_frequencies(spark, sf))).select("sample_id", "linguistic"))
+
+
 # --- entropies, normalisation, discretisation ------------------------------------------------------
 EVENTS = "e AS (SELECT event_type AS y, (user_id % 4)::BIGINT AS x, count(*) AS c FROM events GROUP BY ALL)"
 
@@ -306,9 +333,13 @@ def _events(spark, sf):
 
 @query("SELECT event_type AS value, round(count(*) / (SELECT count(*) FROM events), 6) AS p FROM events GROUP BY 1")
 def probability_distribution(spark, sf):
-    e = table(spark, sf, "events")
-    n = e.count()
-    return r6(e.groupBy(F.col("event_type").alias("value")).agg((F.count("*") / n).alias("p")))
+    return r6(E.probabilities(table(spark, sf, "events"), "event_type"))
+
+
+@query("SELECT i AS value, round(coalesce(n, 0) / (SELECT count(*) FROM events), 6) AS p FROM range(8) r(i) LEFT JOIN (SELECT user_id % 6 AS x, count(*) AS n FROM events GROUP BY 1) ON x = i")
+def probability_categories(spark, sf):
+    """Shares of eight categories, two of which don't occur."""
+    return r6(E.probabilities(table(spark, sf, "events").select((F.col("user_id") % 6).cast("long").alias("x")), "x", 8))
 
 
 @query("WITH c AS (SELECT event_type, count(*) AS c FROM events GROUP BY 1), q AS (SELECT c / (SELECT sum(c) FROM c) + 1e-10 AS q FROM c) SELECT round(-sum(q / z * log2(q / z)), 6) AS h FROM q, (SELECT sum(q) AS z FROM q)")
@@ -325,9 +356,18 @@ def conditional_entropy(spark, sf):
     return r6(e.join(m, "x").agg(E.conditional_entropy(F.col("c") / n, F.col("m") / n).alias("h")))
 
 
-def _price_stats(spark, sf):
-    p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("v"))
-    return p, component_stats(p, ["v"])["v"]
+@query(W + EVENTS + """, m AS (SELECT x, sum(c) AS m FROM e GROUP BY x), n AS (SELECT sum(c) AS n FROM e), p AS (SELECT c / n + 1e-10 AS j, m / n + 1e-10 AS m FROM e JOIN m USING (x), n),
+z AS (SELECT (SELECT sum(j) FROM p) AS zj, (SELECT sum(m / n + 1e-10) FROM m, n) AS zm) SELECT round(-sum(j / zj * log2(least(greatest(j / zj / (m / zm), 1e-10), 1))), 6) AS h FROM p, z""")
+def conditional_entropy_smoothed(spark, sf):
+    """With a tiny mass on joint and marginal shares, both brought back to a sum of 1."""
+    e = _events(spark, sf)
+    n = e.agg(F.sum("c")).first()[0]
+    m = e.groupBy("x").agg(F.sum("c").alias("m"))
+    return r6(E.smoothed_conditional_entropy(e.join(m, "x").select("x", (F.col("c") / n).alias("j"), (F.col("m") / n).alias("m")), "j", "m", "x"))
+
+
+def _prices(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("v"))
 
 
 PRICE = "p AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE AS v FROM lineitem)"
@@ -335,48 +375,41 @@ PRICE = "p AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE AS v FRO
 
 @query(W + PRICE + " SELECT l_orderkey, l_linenumber, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS v FROM p")
 def normalize_minmax(spark, sf):
-    p, s = _price_stats(spark, sf)
-    return r6(p.withColumn("v", (F.col("v") - s["min"]) / (s["max"] - s["min"])))
+    return r6(E.normalize_scores(_prices(spark, sf), "v", "minmax"))
 
 
 @query(W + PRICE + " SELECT l_orderkey, l_linenumber, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 5) AS v FROM p")
 def normalize_zscore(spark, sf):
-    p, s = _price_stats(spark, sf)
-    return p.withColumn("v", F.round((F.col("v") - s["mean"]) / s["std"], 5))
+    return E.normalize_scores(_prices(spark, sf), "v", "zscore").withColumn("v", F.round("v", 5))
 
 
 @query("WITH v AS (SELECT event_type, exp(avg(value) / 100) AS x FROM events GROUP BY 1) SELECT event_type, round(x / sum(x) OVER (), 6) AS v FROM v")
 def normalize_softmax(spark, sf):
-    e = table(spark, sf, "events").groupBy("event_type").agg((F.avg("value") / 100).alias("s"))
-    top = e.agg(F.max("s")).first()[0]
-    e = e.withColumn("x", F.exp(F.col("s") - top))
-    total = e.agg(F.sum("x")).first()[0]
-    return r6(e.select("event_type", (F.col("x") / total).alias("v")))
+    return r6(E.normalize_scores(table(spark, sf, "events").groupBy("event_type").agg((F.avg("value") / 100).alias("v")), "v", "softmax"))
 
 
 @query(W + COMP + " SELECT sample_id, round((least(greatest((linguistic - avg(linguistic) OVER ()) / stddev_pop(linguistic) OVER (), -3), 3) + 3) / 6, 6) AS z FROM comp")
 def normalize_component(spark, sf):
-    c = components(spark, sf)
+    c = settled(components(spark, sf))
     return r6(c.select("sample_id", E.scaled(F.col("linguistic"), component_stats(c, ["linguistic"])["linguistic"], "zscore").alias("z")))
 
 
 @query(W + PRICE + " SELECT b AS bin, count(*) AS n FROM (SELECT least(greatest(floor((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 64), 0), 63)::INT AS b FROM p) GROUP BY 1")
 def discretize_uniform(spark, sf):
-    p, s = _price_stats(spark, sf)
-    return p.groupBy(E.uniform_bin(F.col("v"), s["min"], s["max"], 64).alias("bin")).agg(F.count("*").alias("n"))
+    return E.discretize(_prices(spark, sf), "v", 64, "uniform").groupBy("bin").agg(F.count("*").alias("n"))
 
 
 @query("WITH p AS (SELECT l_quantity::DOUBLE AS v FROM lineitem), e AS (SELECT list_sort(list_distinct(quantile_cont(v, [i / 16 for i in range(17)]))) AS e FROM p) SELECT len(list_filter(e[2:len(e) - 1], lambda x: x <= v))::INT AS bin, count(*) AS n FROM p, e GROUP BY 1")
 def discretize_quantile(spark, sf):
     p = table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("v"))
-    edges = p.agg(F.percentile("v", F.array(*(F.lit(i / 16) for i in range(17))))).first()[0]
-    return p.groupBy(E.binned(F.col("v"), list(edges)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return E.discretize(p, "v", 16, "quantile").groupBy("bin").agg(F.count("*").alias("n"))
 
 
 # --- scores and selection -------------------------------------------------------------------------
 @query(W + COMP + "".join(f"{' UNION ALL' if i else ''} SELECT '{c}' AS component, round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM comp" for i, c in enumerate(("linguistic", "phonetic", "contextual"))))
 def component_statistics(spark, sf):
-    return r6(analyze(components(spark, sf), ["linguistic", "phonetic", "contextual"]).drop("median"))
+    stats = component_stats(components(spark, sf), ["linguistic", "phonetic", "contextual"])
+    return r6(spark.createDataFrame([(k, v["min"], v["max"], v["mean"], v["std"]) for k, v in stats.items()], "component string, min double, max double, mean double, std double"))
 
 
 @query(W + SCORE + "".join(f"{' UNION ALL' if i else ''} SELECT '{c}' AS component, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(quantile_cont({c}, 0.5), 6) AS median FROM sc" for i, c in enumerate(("linguistic", "phonetic", "contextual", "score"))))
@@ -396,14 +429,14 @@ def score(spark, sf):
 
 @query(W + SCORE + " SELECT sample_id, round(0.25 * ln, 6) AS score FROM sc")
 def score_subset(spark, sf):
-    c = components(spark, sf)
+    c = settled(components(spark, sf))
     only = ScorerConfig(use_acoustic=False, use_phonetic=False, use_contextual=False, use_mutual_info=False)
     return r6(ScorerModel.fit(c, only).transform(c).select("sample_id", "score"))
 
 
 @query(W + SCORE + " SELECT sample_id, " + ", ".join(f"round({c}, 6) AS {c}_raw, round({n}, 6) AS {c}_normalized, round({n} * {w}, 6) AS {c}_weighted" for c, n, w in (("phonetic", "pn", 0.2), ("linguistic", "ln", 0.25), ("contextual", "cn", 0.15))) + ", round(score, 6) AS total_score FROM sc")
 def score_detailed(spark, sf):
-    c = components(spark, sf)
+    c = settled(components(spark, sf))
     return r6(ScorerModel.fit(c, TEXT).detailed(c))
 
 
@@ -424,10 +457,17 @@ def select_top_k(spark, sf):
 
 @query(W + RSC + ", k AS (SELECT sample_ord, score FROM rs ORDER BY score DESC, sample_ord LIMIT 50) SELECT sample_ord, row_number() OVER (ORDER BY score, sample_ord) AS place FROM k")
 def select_indices(spark, sf):
-    from pyspark.sql import Window
+    return indices(rounded(spark, sf), SelectorConfig("top_k", top_k=50))
+
 
-    best = select(rounded(spark, sf), SelectorConfig("top_k", top_k=50))
-    return best.select("sample_ord", F.row_number().over(Window.orderBy("score", "sample_ord")).cast("long").alias("place"))
+@query(W + RSC + " SELECT sample_ord, row_number() OVER (ORDER BY sample_ord) AS place FROM rs WHERE score > 0.4")
+def select_indices_threshold(spark, sf):
+    return indices(rounded(spark, sf), SelectorConfig("threshold", threshold=0.4))
+
+
+@query(W + RSC + " SELECT sample_ord, row_number() OVER (ORDER BY sample_ord) AS place FROM rs WHERE score >= (SELECT quantile_cont(score, 0.8) FROM rs)")
+def select_indices_percentile(spark, sf):
+    return indices(rounded(spark, sf), SelectorConfig("percentile", percentile=20))
 
 
 @query(W + RSC + " SELECT round(avg((score > 0.3)::INT), 6) AS rate FROM rs", "retention_rate")
@@ -445,7 +485,7 @@ _NAMES = ("words", "unique", "mean_length", "chars")
 
 
 def _features(spark, sf):
-    return docs(spark, sf).select("sample_id", *(v.alias(k) for k, v in X.mi_text_features(T.text_of()).items()))
+    return settled(docs(spark, sf).select("sample_id", *(v.alias(k) for k, v in X.mi_text_features(T.text_of()).items())))
 
 
 MI = D + f""", w AS (SELECT sample_id, length(coalesce(text, '')) AS n, {SPACED.format('text')} AS ws FROM d),
@@ -498,15 +538,76 @@ def mi_features_acoustic(spark, sf):
     return r6(table(spark, sf, "embeddings").select("vec_id", *(v.alias(k) for k, v in f.items())))
 
 
-@query("SELECT vec_id, (1 + len(embedding) // 160)::INT AS n, round(list_sum(embedding[1:512])::DOUBLE, 3) AS first FROM embeddings")
+#: A short transform for the short signals of the table; half of them are cut to 32 samples.
+SIGNAL = AcousticConfig(n_bands=5, n_fft=16, hop=8, n_bins=4)
+
+
+def _signals(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 32)).alias("audio"))
+
+
+SIGNALS = "sg AS (SELECT vec_id, list_transform(CASE WHEN vec_id % 2 = 0 THEN embedding ELSE embedding[1:32] END, lambda x: x::DOUBLE) AS a FROM embeddings)"
+_FRAMES = f"{SIGNALS}, fr AS (SELECT vec_id, unnest(range(0, 1 + len(a) // 8)) AS frame, a || list_transform(range(16), lambda i: 0.0::DOUBLE) AS a FROM sg)"
+
+
+@query(W + _FRAMES + " SELECT vec_id, frame::INT AS frame, round(list_sum(list_transform(range(16), lambda i: a[frame * 8 + i + 1] * (i + 1))), 3) + 0.0::DOUBLE AS weighted FROM fr")
 def frames_of_signal(spark, sf):
-    f = table(spark, sf, "embeddings").select("vec_id", frames(F.col("embedding")).alias("f"))
-    return f.select("vec_id", F.size("f").alias("n"), F.round(F.aggregate(F.col("f")[0], F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("first"))
+    """Every frame of every signal; the weighted sum tells the order of its samples."""
+    f = _signals(spark, sf).select("vec_id", F.posexplode(frames(F.col("audio"), SIGNAL.n_fft, SIGNAL.hop)).alias("frame", "f"))
+    weighted = F.aggregate(F.transform("f", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return f.select("vec_id", "frame", (F.round(weighted, 3) + 0.0).alias("weighted"))
+
+
+def _acoustic_sql() -> str:
+    """The bands of a Hann-windowed Fourier transform, their quantile bins and entropies, written out."""
+    edges = band_edges(SIGNAL)
+    bands = " UNION ALL ".join(f"SELECT vec_id, frame, {i} AS band, {'ln(1 + avg(m))' if b > a else '0.0::DOUBLE'} AS v FROM mg" + (f" WHERE k >= {a} AND k < {b}" if b > a else "") + " GROUP BY 1, 2" for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)))
+    turn = "2 * pi() * i * k / 16"
+    term = lambda f: f"list_sum(list_transform(range(16), lambda i: a[frame * 8 + i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / 15)) * {f}({turn})))"
+    return f"""{_FRAMES}, fk AS (SELECT vec_id, frame, a, unnest(range(9)) AS k FROM fr), mg AS MATERIALIZED (SELECT vec_id, frame, k, sqrt({term('cos')} ** 2 + {term('sin')} ** 2) AS m FROM fk),
+bd AS ({bands}), bv AS (SELECT vec_id, band, list(v) AS vs, list_sort(list_distinct(quantile_cont(v, [i / 4 for i in range(5)]))) AS e FROM bd GROUP BY 1, 2),
+bb AS (SELECT vec_id, band, len(vs) AS n, unnest(list_transform(vs, lambda v: CASE WHEN len(e) > 2 THEN least(len(list_filter(e[2:len(e) - 1], lambda x: x <= v)), 3) ELSE 0 END)) AS bin FROM bv),
+bc AS (SELECT vec_id, band, bin, (count(*) / any_value(n) + 1e-10) / (1 + 4e-10) AS q FROM bb GROUP BY 1, 2, 3),
+bh AS (SELECT vec_id, band, -sum(q * log2(q)) - (4 - count(*)) * (1e-10 / (1 + 4e-10)) * log2(1e-10 / (1 + 4e-10)) AS h FROM bc GROUP BY 1, 2),
+ac AS MATERIALIZED (SELECT vec_id, avg(h) AS acoustic FROM bh GROUP BY 1)"""
+
 
+def _centroid_sql() -> str:
+    term = lambda f: f"list_sum(list_transform(range(len(a)), lambda i: a[i + 1] * {f}(2 * pi() * i * k / len(a))))"
+    return f"ck AS (SELECT vec_id, a, unnest(range(0, len(a) // 2 + 1)) AS k FROM sg), cm AS (SELECT vec_id, k, len(a) // 2 + 1 AS n, sqrt({term('cos')} ** 2 + {term('sin')} ** 2) AS m FROM ck), ce AS MATERIALIZED (SELECT vec_id, CASE WHEN sum(m) > 1e-10 THEN sum(k * m) / sum(m) / any_value(n) ELSE 0.5 END AS centroid FROM cm GROUP BY 1)"
 
-@query()
+
+@query(W + _acoustic_sql() + ", " + _centroid_sql() + " SELECT vec_id, round(acoustic, 6) AS acoustic, round(centroid, 6) AS centroid FROM ac JOIN ce USING (vec_id)")
 def acoustic_features(spark, sf):
-    return r6(table(spark, sf, "embeddings").select("vec_id", acoustic_entropy(F.col("embedding")).alias("acoustic"), spectral_centroid(F.col("embedding")).alias("centroid")))
+    return r6(_signals(spark, sf).select("vec_id", acoustic_entropy(F.col("audio"), SIGNAL).alias("acoustic"), spectral_centroid(F.col("audio")).alias("centroid")))
+
+
+# --- all five components ------------------------------------------------------------------------------
+ALL = CurationConfig(acoustic=SIGNAL, mutual_info=MutualInfoConfig("linguistic"))
+
+
+def _voiced(spark, sf):
+    """Documents that have a signal, with it."""
+    return docs(spark, sf).join(_signals(spark, sf).withColumnRenamed("vec_id", "sample_ord"), "sample_ord").withColumn("sample_rate", F.lit(16000))
+
+
+_VOICED = D.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+_FIVE = [("acoustic", 0.25), ("phonetic", 0.20), ("linguistic", 0.25), ("contextual", 0.15), ("mutual_info", 0.15)]
+
+
+def _five_sql() -> str:
+    mi = _mi_sql(True)[len(D) + 2 :].replace("w AS (", "mw AS (").replace("FROM w)", "FROM mw)").replace(", r AS (", ", mr AS (").replace("FROM r)", "FROM mr)").replace(", e AS MATERIALIZED", ", me AS MATERIALIZED").replace("FROM f, e)", "FROM f, me)").replace(", n AS (", ", mn AS (")
+    return f"""{COMP.replace(D, _VOICED)}, {mi}, {_acoustic_sql()},
+five AS MATERIALIZED (SELECT comp.*, acoustic, -log2((cnt + 1e-10) / ((SELECT count(*) FROM f) + 1e-10 * 32 ** 4) + 1e-10) AS mutual_info FROM comp JOIN ac ON vec_id = sample_ord JOIN k USING (sample_id) JOIN mn ON fit = cell),
+fs AS MATERIALIZED (SELECT sample_id, {', '.join(f'{c}, {_mm(c)} AS n_{c}' for c, _ in _FIVE)} FROM five)"""
+
+
+@query(W + _five_sql() + " SELECT sample_id, " + ", ".join(f"round({c}, 6) AS {c}_raw, round(n_{c}, 6) AS {c}_normalized, round(n_{c} * {w}, 6) AS {c}_weighted" for c, w in _FIVE) + ", round(" + " + ".join(f"{w} * n_{c}" for c, w in _FIVE) + ", 6) AS total_score FROM fs")
+def score_all_components(spark, sf):
+    """The facade with all five components, in detail."""
+    d = settled(_voiced(spark, sf))
+    return r6(CurationPipeline(ALL).score_detailed(d))
 
 
 # --- progressive filtering --------------------------------------------------------------------------
@@ -542,7 +643,9 @@ def round_history(spark, sf):
     return spark.createDataFrame([(x["round"], round(x["threshold"], 6), x["input_size"], x["output_size"], round(x["mean_score"], 6)) for x in h], "round int, threshold double, input_size long, output_size long, mean_score double")
 
 
-@query()
+@query(W + DEATH + ", th AS (SELECT unnest(range(10)) AS round, unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in _T[:-1]) + """]) AS threshold),
+rh AS (SELECT round, threshold, (SELECT count(*) FROM de WHERE death >= round) AS i, (SELECT count(*) FROM de WHERE death > round) AS o, coalesce((SELECT avg(score) FROM de WHERE death > round), 0) AS m FROM th, k WHERE round < k)
+SELECT 'Progressive filtering history' || chr(10) || repeat('=', 40) || coalesce(string_agg(chr(10) || printf('Round %d: %d → %d samples (%.1f%% retained), τ=%.4f, mean_score=%.4f', round, i, o, o / i * 100, threshold, m), '' ORDER BY round), '') AS summary FROM rh""")
 def history_summary(spark, sf):
     return spark.createDataFrame([(P.history_summary(P.filter_rounds(rounded(spark, sf), CONFIG)[1]),)], "summary string")
 
@@ -552,11 +655,11 @@ def trained_languages(spark, sf):
     return rounded(spark, sf).where("score > 0.3 and language is not null").groupBy("language").agg(F.min("sample_ord").alias("first"))
 
 
-def _pairs(spark, sf):
-    """Documents against themselves without every fifth word."""
+def _pairs(spark, sf, every=5):
+    """Documents against themselves without every fifth (or so) word."""
     d = docs(spark, sf)
     words = T.nonempty(F.split(T.text_of(), r"\s+"))
-    worse = F.array_join(F.filter(words, lambda w, i: i % 5 != 4), " ")
+    worse = F.array_join(F.filter(words, lambda w, i: i % every != every - 1), " ")
     return d.select("sample_id", "language", worse.alias("prediction"), F.col("transcription").alias("reference"))
 
 
@@ -584,16 +687,19 @@ def language_error_rate(spark, sf):
     return r6(P.language_error_rates(_pairs(spark, sf)))
 
 
-@query(W + PAIRS + LER + " SELECT language, round(1 - wer, 6) AS mastery FROM lr WHERE wer < 0.1")
+MASTERED = PAIRS.replace("% 5 <> 4", "% 12 <> 11")
+
+
+@query(W + MASTERED + LER + " SELECT language, round(1 - wer, 6) AS mastery FROM lr WHERE wer < 0.1")
 def known_languages(spark, sf):
-    return r6(P.language_error_rates(_pairs(spark, sf)).where("wer < 0.1").select("language", (F.lit(1.0) - F.col("wer")).alias("mastery")))
+    known = P.known_languages_of(P.language_error_rates(_pairs(spark, sf, 12)))
+    return r6(spark.createDataFrame(list(known.items()), "language string, mastery double"))
 
 
 @query(W + PAIRS + ERR + GRAMS + ", n AS (SELECT bigram, count(*) AS c FROM gr GROUP BY 1) SELECT bigram, round(1 - coalesce(cnt, 0) / c, 6) AS mastery FROM n LEFT JOIN eb USING (bigram) WHERE c > 10 AND coalesce(cnt, 0) / c < 0.1")
 def known_ngrams(spark, sf):
-    words = docs(spark, sf).select(T.spaced_words(T.text_of()).alias("w"))
-    grams = words.select(F.explode_outer(T.bigrams(F.col("w"))).alias("bigram")).where("bigram is not null")
-    return r6(P.known_ngrams(grams.groupBy("bigram").agg(F.count("*").alias("cnt")), P.error_bigrams(_pairs(spark, sf))))
+    counts = P.bigram_counts(docs(spark, sf)).groupBy("bigram").agg(F.sum("n").alias("cnt"))
+    return r6(P.known_ngrams(counts, P.error_bigrams(_pairs(spark, sf))))
 
 
 @query(W + PAIRS + ERR + LER + GRAMS + REL + " SELECT sample_id, round(relevance, 6) AS relevance FROM rel")
@@ -610,11 +716,16 @@ def cross_lingual(spark, sf):
     return r6(docs(spark, sf).select("sample_id", P.cross_lingual_overlap(F.col("language"), COMMON_LANGUAGES).alias("overlap")))
 
 
-@query(W + RSC + PAIRS[len(D):] + ERR.replace("eb AS", "eb AS") + LER + GRAMS + REL + f" SELECT rs.sample_id, round(score + 0.3 * relevance + 0.2 * 0.5 * {_family.replace('language', 'rs.language')}, 6) AS adjusted FROM rs JOIN rel USING (sample_id)")
+_MS = MASTERED[len(D) :].replace("r0 AS", "r1 AS").replace("FROM r0", "FROM r1").replace("pr AS", "pr1 AS").replace("FROM pr)", "FROM pr1)").replace("ms AS", "ms1 AS") + LER.replace("lr AS", "lr1 AS").replace("FROM ms", "FROM ms1")
+
+
+@query(W + RSC + PAIRS[len(D) :] + ERR + LER + GRAMS + REL + _MS + f" SELECT rs.sample_id, round(score + 0.3 * relevance + 0.2 * 0.5 * {_family.replace('language', 'rs.language')} - CASE WHEN lr1.wer < 0.1 THEN 0.1 * (1 - lr1.wer) ELSE 0 END, 6) AS adjusted FROM rs JOIN rel USING (sample_id) LEFT JOIN lr1 ON lr1.language = rs.language")
 def adjust_scores(spark, sf):
+    """Errors of one model, mastery of languages by a better one."""
     p = _pairs(spark, sf)
     d = docs(spark, sf).select("sample_id", "transcription").join(rounded(spark, sf), "sample_id")
-    return r6(P.adjusted_scores(d, P.error_bigrams(p), P.language_error_rates(p), COMMON_LANGUAGES, {}, ProgressiveConfig()).select("sample_id", "adjusted"))
+    mastery = P.known_languages_of(P.language_error_rates(_pairs(spark, sf, 12)))
+    return r6(P.adjusted_scores(d, P.error_bigrams(p), P.language_error_rates(p), COMMON_LANGUAGES, mastery, ProgressiveConfig()).select("sample_id", "adjusted"))
 
 
 # --- transcripts -------------------------------------------------------------------------------------
@@ -649,7 +760,11 @@ def format_vtt(spark, sf):
     return r.select("file", S.formatted(r, "vtt").alias("out"))
 
 
-@query()
+_JSON_CHUNK = """'{' || chr(10) || '    "turn" : ' || turn || ',' || chr(10) || '    "start" : ' || s || ',' || chr(10) || '    "end" : ' || e || ',' || chr(10) || '    "text" : ' || to_json(text)::VARCHAR || chr(10) || '  }'"""
+
+
+@query(W + _conv + f""" SELECT conv_id::VARCHAR AS file, '{{' || chr(10) || '  "file" : "' || conv_id || '",' || chr(10) || '  "text" : ' || to_json(string_agg(text, ' ' ORDER BY i))::VARCHAR || ',' || chr(10)
+|| '  "chunks" : [ ' || string_agg({_JSON_CHUNK}, ', ' ORDER BY i) || ' ],' || chr(10) || '  "inference_time" : ' || (count(*) * 0.5::DOUBLE) || ',' || chr(10) || '  "audio_duration" : ' || (count(*) * 2.5::DOUBLE) || chr(10) || '}}' AS out FROM c GROUP BY conv_id""")
 def format_json(spark, sf):
     r = _results(spark, sf)
     return r.select("file", S.formatted(r, "json").alias("out"))

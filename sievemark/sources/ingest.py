@@ -82,23 +82,49 @@ def batches(df: DataFrame, order: str, size: int, drop_last: bool = False) -> Da
     return out.where(F.col("batch") < df.count() // size) if drop_last else out
 
 
+def padded(df: DataFrame, column: str, value: float, batch: str = "batch") -> DataFrame:
+    """df with the arrays of a column filled up behind with value to the longest of their batch; null arrays become all value."""
+    longest = df.groupBy(batch).agg(F.max(F.coalesce(F.size(column), F.lit(0))).alias("_most"))
+    kind = df.schema[column].dataType
+    out = df.join(longest, batch)
+    held = F.coalesce(F.col(column), F.array().cast(kind))
+    fill = F.array_repeat(F.lit(value).cast(kind.elementType), F.greatest(F.col("_most") - F.size(held), F.lit(0)))
+    return out.withColumn(column, F.concat(held, fill)).drop("_most")
+
+
+def read_languages(spark: SparkSession, path: str) -> DataFrame:
+    """code, language of a table of languages (CSV with a header)."""
+    return spark.read.csv(path, header=True, schema="code string, language string")
+
+
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:
     """file, content of the audio files right in a folder."""
     names = ",".join([*AUDIO_EXTENSIONS, *(x.upper() for x in AUDIO_EXTENSIONS)])
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + names + "}").option("recursiveFileLookup", "false").load(folder).select(F.col("path").alias("file"), "content").orderBy("file")
 
 
+def _samples(raw: bytes, width: int) -> np.ndarray:
+    """PCM of 8 (unsigned), 16, 24 or 32 bits as floats in -1..1."""
+    if width == 1:
+        return (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    if width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8)[: len(wide) * 3].reshape(-1, 3)
+        return wide.view("<i4").ravel() / float(1 << 31)
+    return np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]) / float(1 << (8 * width - 1))
+
+
 def decode_wav(files: DataFrame, rate: int = 16_000) -> DataFrame:
-    """PCM WAV content -> file, audio (mono floats, linearly resampled to rate), sample_rate; what can't be read has null audio."""
-    def decode(raw: bytes) -> list[float] | None:
+    """PCM WAV content -> file, audio (mono floats, linearly resampled to rate), sample_rate; what can't be read has null audio.
+
+    Other formats go through `transcribe` with a decoder of the user's."""
+    def decode(raw: bytes) -> np.ndarray | None:
         try:
             with wave.open(io.BytesIO(raw)) as w:
-                kind = {1: np.uint8, 2: "<i2", 4: "<i4"}[w.getsampwidth()]
-                x = np.frombuffer(w.readframes(w.getnframes()), kind).astype(np.float64).reshape(-1, w.getnchannels()).mean(axis=1)
-                x = (x - 128) / 128 if w.getsampwidth() == 1 else x / float(1 << (8 * w.getsampwidth() - 1))
+                x = _samples(w.readframes(w.getnframes()), w.getsampwidth()).reshape(-1, w.getnchannels()).mean(axis=1)
                 n = round(len(x) * rate / w.getframerate())
-                return np.interp(np.arange(n) * w.getframerate() / rate, np.arange(len(x)), x).astype(np.float32).tolist() if len(x) else []
-        except (wave.Error, EOFError, KeyError):
+                return np.interp(np.arange(n) * w.getframerate() / rate, np.arange(len(x)), x).astype(np.float32) if len(x) else np.zeros(0, np.float32)
+        except (wave.Error, EOFError, KeyError, ValueError):
             return None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
