@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +56,19 @@ def discard(*frames: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which gives freed memory back to the system at the end of a task: Python workers live on from task to task, and
+    what their allocators hold back would count against the next stage's executors."""
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -74,12 +92,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     An empty edge table gives an empty result. Self loops are ignored. Components that haven't settled in max_rounds raise.
     """
     stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before = (stars.count(),)
     for _ in range(max_rounds):
         both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")).select("u", F.least("u", "m").alias("m"), "edges")
         least = written(least, "least")
-        large = skew_join(both, least, ["u"], "edges").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = skew_join(both, least, ["u"], "edges", total=2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large")
         # every edge leads down now: a node's edges are few unless many small nodes share it
         lower = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")), "lower")

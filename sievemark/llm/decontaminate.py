@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import discard, documents, written
 
 #: Placeholders: private-use characters, which no text's letters include.
 NUMBER, UNIT, NAME = "", "", ""
@@ -37,7 +37,7 @@ def _tokens(text: Column) -> Column:
     t = F.regexp_replace(text, f"[{NUMBER}-{NAME}]", " ")
     t = F.regexp_replace(t, r"\p{N}+(?:[.,]\p{N}+)*", f" {NUMBER}$0 ")
     t = F.regexp_replace(t, rf"({NUMBER}[^ ]+)\s*({UNITS}|[%€$£])(?!\p{{L}})", f"$1 {UNIT}$2 ")
-    t = F.regexp_replace(t, rf"(?<!\p{{L}})(?:{NAMES})(?!\p{{L}})|(?<=[\p{{L}},;] )\p{{Lu}}\p{{Ll}}+(?!\p{{L}})", f"{NAME}$0")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?:(?<!\p{{L}})(?:{NAMES})(?!\p{{L}})|(?<=[\p{{L}},;] )\p{{Lu}}\p{{Ll}}+(?!\p{{L}}))", f"{NAME}$0")
     return F.regexp_extract_all(F.lower(t), F.lit(rf"\p{{L}}+|{NUMBER}[^ ]+|{UNIT}(?:\p{{L}}+|[%€$£])|{NAME}[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
@@ -61,7 +61,7 @@ def _is_slot(kind: Column) -> Column:
 
 
 def templates(benchmark: DataFrame, window: int, share: float, words: int) -> tuple[DataFrame, DataFrame]:
-    """benchmark (item_id, text) -> (template, ids), (hash, template, ipos, total, need, slots); both written.
+    """benchmark (item_id, text) -> (template, c, p, ids), (hash, template, ipos, total, need, slots); both written.
 
     slots has (kind, number of the value, place in the window) of a window's placeholders; need is the least length of the
     longest run of windows in any alignment that counts as a match."""
@@ -74,11 +74,12 @@ def templates(benchmark: DataFrame, window: int, share: float, words: int) -> tu
     need = F.least(F.lit(words - window + 1), F.ceil(k / (F.col("total") - k + 1)))
     rows = made.withColumn("w", _windows(F.col("c"), window)).select("template", "c", "p", F.size("w").alias("total"), F.posexplode_outer("w").alias("ipos", "hash")).where("hash is not null")
     slots = F.filter(F.transform(F.slice("c", F.col("ipos") + 1, window), lambda c, i: F.struct(c.alias("kind"), F.get("p", F.col("ipos") + i).alias("value"), i.alias("place"))), lambda x: _is_slot(x["kind"]))
-    return made.select("template", "ids"), written(rows.select("hash", "template", "ipos", "total", need.alias("need"), slots.alias("slots")), "postings")
+    return made, written(rows.select("hash", "template", "ipos", "total", need.alias("need"), slots.alias("slots")), "postings")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float = 0.8, words: int = 13, most_broadcast: int = 200_000) -> DataFrame:
-    """docs (text), benchmark (item_id, text) -> h1, h2 (of the text), item_id, share of the item's windows; contaminated pairs only."""
+    """docs (text), benchmark (item_id, text) -> h1, h2 (of the text), item_id, share of the item's windows; contaminated pairs
+    only, written."""
     classes, postings = templates(benchmark, window, share, words)
     known = postings.groupBy("hash").agg(F.max(F.size("slots") > 0).alias("slotted"))
     few = postings.count() <= most_broadcast
@@ -110,20 +111,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, share: float
     longest = F.aggregate("places", state(F.lit(-2), F.lit(0), F.lit(0)), longer)["best"]
     enough = (F.size("places") >= share * F.col("total")) | (longest >= words - window + 1)
     found = aligned.where(consistent).where(enough).groupBy("h1", "h2", "template").agg(F.max(F.size("places") / F.col("total")).alias("share"))
-    found = found.join(classes, "template").select("h1", "h2", "share", F.explode("ids").alias("id"))
-    return found.groupBy("h1", "h2", F.col("id.item_id").alias("item_id")).agg(F.max("share").alias("share"))
+    found = found.join(classes.select("template", "ids"), "template").select("h1", "h2", "share", F.explode("ids").alias("id"))
+    found = written(found.groupBy("h1", "h2", F.col("id.item_id").alias("item_id")).agg(F.max("share").alias("share")), "matches")
+    discard(classes, postings)
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, share of the item's windows; contaminated pairs only."""
-    return docs.select("doc_id", *_text_key()).join(written(matches(docs, benchmark, **settings), "matches"), ["h1", "h2"]).select("doc_id", "item_id", "share")
+    return docs.select("doc_id", *_text_key()).join(matches(docs, benchmark, **settings), ["h1", "h2"]).select("doc_id", "item_id", "share")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All docs -> doc_id, contaminated, n_items, items (item ids, ascending, nulls first, comma-joined)."""
     ids = F.sort_array(F.collect_set(F.struct("item_id")))
     found = matches(docs, benchmark).groupBy("h1", "h2").agg(ids.alias("ids"))
-    found = written(found.select("h1", "h2", F.size("ids").cast("long").alias("n_items"), F.array_join(F.transform("ids", lambda x: F.coalesce(x["item_id"].cast("string"), F.lit("null"))), ",").alias("items")), "contaminated")
+    found = found.select("h1", "h2", F.size("ids").cast("long").alias("n_items"), F.array_join(F.transform("ids", lambda x: F.coalesce(x["item_id"].cast("string"), F.lit("null"))), ",").alias("items"))
     both = docs.select("doc_id", *_text_key()).join(found, ["h1", "h2"], "left")
     return both.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.lit("")).alias("items"))
 
@@ -134,7 +137,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text a benchmark item contaminates."""
-    found = written(matches(docs, benchmark).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct(), "contaminated")
+    found = matches(docs, benchmark).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
     h1, h2 = _text_key()
     keyed = docs.withColumn("_k1", h1).withColumn("_k2", h2)
     return keyed.join(found, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")), "left_anti").select(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, documents, written
+from .common import connected_components, discard, documents, tidy, written
 from .substring_dedup import Hashed, _batches, _mixed
 
 PLACES = 64
@@ -73,7 +73,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                         node[i], sig[i] = ids[k].tobytes(), least[k].tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sizes)), b.column(2).slice(at, len(sizes)), pa.array(node, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "th", "node", "n", "sig"])
 
-    return docs.select("doc_id", "text", "th").mapInArrow(run, f"doc_id {kind}, th long, node binary, n long, sig binary")
+    return docs.select("doc_id", "text", "th").mapInArrow(tidy(run), f"doc_id {kind}, th long, node binary, n long, sig binary")
 
 
 def runs_for(recall: float, threshold: float, depth: int) -> int:
@@ -88,12 +88,13 @@ def _place(sig, place):
 
 
 def _buckets(nodes: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
-    """nodes (node, sig) -> path, node, size of the buckets to compare."""
+    """nodes (node, sig) -> path, node, size of the buckets to compare; written."""
     first = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(r, F.substring("sig", F.pmod(r * 7, F.lit(PLACES)) * 4 + 1, F.lit(4))))).alias("path"))
-    paths, done = written(first, "paths"), None
+    paths, done, tables = written(first, "paths"), None, []
     for level in range(depth + 1):
         sizes = paths.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("size > 1")
         sizes = written(sizes.groupBy("size", "members").agg(F.min("path").alias("path")).select("path", "size"), "sizes")
+        tables += [paths, sizes]
         last = level == depth
         small = sizes if last else sizes.where(F.col("size") <= limit)
         found = paths.join(small, "path")
@@ -104,6 +105,8 @@ def _buckets(nodes: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
         child = lambda k: F.struct(F.pmod(F.xxhash64("path", F.lit(k)), F.lit(PLACES // 2)).cast("int") * 2 + k)
         split = paths.join(large, "path").join(nodes, "node").select("node", "path", "sig", F.explode(F.array(child(0), child(1))).alias("p"))
         paths = written(split.select("node", F.xxhash64("path", "p.col1", F.substring(F.col("sig"), F.col("p.col1") * 4 + 1, F.lit(4))).alias("path")), "paths")
+    done = written(done, "buckets")
+    discard(*tables)
     return done
 
 
@@ -174,7 +177,7 @@ def _candidates(buckets: DataFrame, nodes: DataFrame, limit: int, threshold: flo
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(tidy(run), "a binary, b binary").distinct()
 
 
 def _overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +239,7 @@ def _exact(groups: DataFrame, percent: int) -> DataFrame:
         a, b, label, n = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(label, pa.binary()), pa.array(n, pa.int64())], ["node", "other", "label", "links"])
 
-    return groups.mapInArrow(run, "node binary, other binary, label binary, links long")
+    return groups.mapInArrow(tidy(run), "node binary, other binary, label binary, links long")
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -249,7 +252,7 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = [flat[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(texts)) for k in (1, 2, 3, 4)), pa.array(sets, pa.binary())], ["component", "blocks", "node", "copies", "set"])
 
-    return docs.select("text", "component", "blocks", "node", "copies").mapInArrow(run, "component binary, blocks int, node binary, copies long, set binary")
+    return docs.select("text", "component", "blocks", "node", "copies").mapInArrow(tidy(run), "component binary, blocks int, node binary, copies long, set binary")
 
 
 def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.99999, limit: int = 2048, depth: int = 3, block: int = 512, block_shingles: int = 300_000) -> DataFrame:
@@ -259,7 +262,7 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, recall: flo
     marks = written(_signed(keyed, words), "signed")
     nodes = written(marks.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("copies")), "nodes")
     members = marks.select("doc_id", "node")
-    buckets = written(_buckets(nodes.select("node", "sig"), runs_for(recall, threshold, depth), depth, limit), "buckets")
+    buckets = _buckets(nodes.select("node", "sig"), runs_for(recall, threshold, depth), depth, limit)
     edges = _candidates(buckets, nodes.select("node", "n", "sig"), limit, threshold)
     groups = connected_components(edges)
     grouped = groups.join(nodes.select("node", "rep", "copies", "n"), "node")
@@ -276,6 +279,7 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, recall: flo
     wide = connected_components(exact.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     facts = nodes.select("node", "rep", "copies").join(counted, "node", "left").join(wide.select("node", F.col("component").alias("wide")), "node", "left")
     facts = written(facts.select("node", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("wide", "label", "node").alias("class")), "facts")
+    discard(nodes, buckets, grouped, exact)
     least = facts.groupBy("class").agg(F.min("rep.doc_id").alias("class_id"))
     facts = facts.join(least, "class").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = members.join(facts, "node", "left")

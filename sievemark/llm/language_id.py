@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, unit_hash
+from .common import documents, fold, tidy, unit_hash
 
 UNDETERMINED = "und"
 _FOLD_SIZE = 0x33480
@@ -158,7 +158,7 @@ def train(docs: DataFrame, may_train: Column, docs_per_language: int = 1500, buc
             at = np.flatnonzero(v[:-1])
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(v[at], pa.int64())})
 
-    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = list(sizes)
     table = np.full((len(languages), buckets), smoothing)
     of = {k: i for i, k in enumerate(languages)}
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             lang, p = predict(shared.value, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(p, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(score), f"doc_id {kind}, lang_pred string, score double")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,4 +201,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
             lang, p = predict(shared.value, b.column(at).to_pylist())
             yield b.filter(pa.array([x != UNDETERMINED and y >= least for x, y in zip(lang, p, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.shuffles import skew_join
-from .common import discard, documents, written
+from .common import discard, documents, tidy, written
 
 #: Kinds in the order in which spans with equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -155,7 +155,7 @@ def _scan(docs: DataFrame, least_candidate: int, least_key: int, reach: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(all_spans, spans_type), pa.array(all_marks, marks_type)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "marks"])
 
     schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, marks array<struct<start:int,end:int,instance:bigint,seed:boolean,base:boolean,patterns:array<bigint>>>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def pattern_scores(edges: DataFrame, rounds: int = 3, smoothing: float = 1.0) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.shuffles import skew_join
-from .common import discard, documents, written
+from .common import discard, documents, tidy, written
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -137,7 +137,7 @@ def _index(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     rows = pa.array(at + np.array(which, dtype=np.int64)[part])
                     yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["doc_id", "th", "anchor", "span", "first", "last"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, anchor long, span long, first int, last int")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, th long, anchor long, span long, first int, last int")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 start = np.repeat(first, count) + i
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchor, count)), pa.array(np.repeat(span, count)), pa.array(h.stretch(start, start + window, 2).view(np.int64)), pa.array(i.astype(np.int32)), b.column(0).take(pa.array(np.repeat(row, count)))], ["anchor", "span", "hash", "i", "doc_id"])
 
-    return docs.mapInArrow(run, f"anchor long, span long, hash long, i int, doc_id {kind}")
+    return docs.mapInArrow(tidy(run), f"anchor long, span long, hash long, i int, doc_id {kind}")
 
 
 def duplicate_factors(keyed: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
@@ -232,7 +232,7 @@ def remove_duplicates(docs: DataFrame, window: int = 50, gram: int = 8) -> DataF
 
     same = (F.col("d") == F.col("doc_id")) & (F.col("t") == F.col("th"))
     marked = keyed.join(hits.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "hits"), same, "left").select("doc_id", "text", "hits")
-    return marked.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, n_factors long, kept_sha256 string, kept string, factors array<struct<from:int,to:int,reference:{kind}>>")
+    return marked.mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_removed long, n_factors long, kept_sha256 string, kept string, factors array<struct<from:int,to:int,reference:{kind}>>")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

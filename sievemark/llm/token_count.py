@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, tidy
 
 _NONE = np.int64(1 << 40)
 _CACHE_LIMIT = 400_000
@@ -178,7 +178,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
                 at = end
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

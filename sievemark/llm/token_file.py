@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, tidy, written
 from .token_count import tokenizer_path
 
 BLOCK = 512
@@ -149,30 +149,34 @@ def from_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 class _Known(dict):
     """Ids, as bytes, of chunks that follow `before`; what isn't known is asked for.
 
-    Two generations: when the young one is full it becomes the old one, and what is used again moves over. Chunks over
-    `LONGEST` characters seldom come again and aren't kept."""
+    A chunk is kept for good when it is met again while it waits in `once`, whose chunks go when it is full; so the many
+    words that come but once don't fill the memory. Chunks over `LONGEST` characters seldom come again and aren't kept."""
 
-    LIMIT, LONGEST = 400_000, 12
+    LIMIT, WAITING, LONGEST = 250_000, 150_000, 12
 
     def __init__(self, encoder: Encoder, before: str):
         super().__init__()
-        self.encoder, self.before, self.old = encoder, before, {}
+        self.encoder, self.before, self.once = encoder, before, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            if chunk.isalpha():
-                found = self.encoder.word(self.before + chunk)
-            elif chunk[-1:] in self.encoder.marks and chunk[:-1].isalpha():
-                body = chunk[:-1]
-                found = (self.get(body) or self.old.get(body) or self.encoder.word(self.before + body)) + self.encoder.marks[chunk[-1]]
-            else:
-                found = self.encoder.ids(self.before + chunk)
-        if len(chunk) <= self.LONGEST:
+        once = self.once
+        found = once.pop(chunk, None)
+        if found is not None:
             if len(self) >= self.LIMIT:
-                self.old = dict(self)
                 self.clear()
             self[chunk] = found
+            return found
+        if chunk.isalpha():
+            found = self.encoder.word(self.before + chunk)
+        elif chunk[-1:] in self.encoder.marks and chunk[:-1].isalpha():
+            body = chunk[:-1]
+            found = (self.get(body) or once.get(body) or self.encoder.word(self.before + body)) + self.encoder.marks[chunk[-1]]
+        else:
+            found = self.encoder.ids(self.before + chunk)
+        if len(chunk) <= self.LONGEST:
+            if len(once) >= self.WAITING:
+                once.clear()
+            once[chunk] = found
         return found
 
 
@@ -270,7 +274,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0
 
     order = ("doc_id", "tie")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order)
-    shards = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, f"part int, shard int, doc_ids array<{kind.simpleString()}>, shard_bytes binary")
+    shards = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(tidy(run), f"part int, shard int, doc_ids array<{kind.simpleString()}>, shard_bytes binary")
     return written(shards, "shards")
 
 
@@ -286,7 +290,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
             heads = [struct.unpack_from("<Q", x.as_py(), 8)[0] for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, pa.int64())], ["part", "shard", "n"])
 
-    totals = shards.select("part", "shard", F.substring("shard_bytes", 1, 24).alias("head")).mapInArrow(sizes, "part int, shard int, n long")
+    totals = shards.select("part", "shard", F.substring("shard_bytes", 1, 24).alias("head")).mapInArrow(tidy(sizes), "part int, shard int, n long")
     totals = written(totals, "shard-sizes")
     parts = sorted(tuple(r) for r in totals.groupBy("part").agg(F.sum("n")).collect())
     before, starts = 0, {}
@@ -312,7 +316,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     # shards are few and wide: their offsets come to them, if small enough without a shuffle of the bytes
     joined = shards.join(offsets, ["part", "shard"]).select("doc_ids", "shard_bytes", "offset")
-    return joined.mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return joined.mapInArrow(tidy(decode), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, unit_hash
+from .common import documents, fold, tidy, unit_hash
 
 LANE, _MARGIN = 4096, 64
 _TOKEN = re.compile(r"\w+")
@@ -314,7 +314,7 @@ def tag_toxic(docs: DataFrame, model: ToxicityModel, span_threshold: float = 0.5
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(np.round(score, 9), pa.float64()), pa.array(spans, span_type)], ["doc_id", "score", "spans"])
                 at = end
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,12 +356,12 @@ def test_components_settle_or_raise(spark):
 
 def test_encoder_equals_the_library():
     encoder = token_file.Encoder(token_count.tokenizer_path("byte_bpe_50k.json"))
-    token_file._Known.LIMIT, limit = 50, token_file._Known.LIMIT  # generations turn over
+    held, (token_file._Known.LIMIT, token_file._Known.WAITING) = (token_file._Known.LIMIT, token_file._Known.WAITING), (20, 30)  # both turn over
     rng = np.random.default_rng(9)
     parts = ["a", "I'll", "don't", " ", "  ", "\n", "\n\n", "\t", "é", "日本", "😀", "<|endoftext|>", "12", "3.5", ",", ".", "word", "Σας", "İ", "\0", "\x1c", "\xa0", "　", "x" * 30, "'s", "ﬁ", "é", "\r\n", " ,", "_", "\x85", "word,", "word."]
     texts = ["".join(rng.choice(parts) + (" " if rng.random() < 0.4 else "") for _ in range(rng.integers(0, 14))) for _ in range(3000)]
     flat, sizes = encoder.encode(texts, 0)
-    token_file._Known.LIMIT = limit
+    token_file._Known.LIMIT, token_file._Known.WAITING = held
     ends = np.cumsum(sizes)
     for t, e, n in zip(texts, ends, sizes, strict=True):
         assert flat[e - n : e].tolist() == encoder.library.encode(t, add_special_tokens=False).ids + [0], repr(t)
