@@ -509,7 +509,7 @@ def mi_features_linguistic(spark, sf):
 @query(W + MI + "".join(f"{' UNION ALL' if i else ','} {'q AS (' if not i else ''}SELECT '{n}' AS feature, generate_subscripts(e, 1) - 1 AS i, round(unnest(e), 6) AS edge FROM (SELECT quantile_cont(\"{n}\", {_EDGES}) AS e FROM f)" for i, n in enumerate(_NAMES)) + ") SELECT feature, i::INT AS i, edge FROM q")
 def quantile_edges(spark, sf):
     edges = CellInformation.fit(_features(spark, sf), _NAMES).edges
-    return spark.createDataFrame([(n, i, round(float(v), 6)) for n in _NAMES for i, v in enumerate(edges[n])], "feature string, i int, edge double")
+    return r6(spark.createDataFrame([(n, i, float(v)) for n in _NAMES for i, v in enumerate(edges[n])], "feature string, i int, edge double"))
 
 
 @query(W + _mi_sql(True) + " SELECT cell, cnt FROM n")

@@ -253,7 +253,7 @@ def test_audio_files(spark, tmp_path):
     files = ingest.audio_files(spark, str(tmp_path))
     got = ingest.decode_wav(files, rate=8000).orderBy("file").collect()
     assert [r["file"].rsplit("/", 1)[1] for r in got] == ["1.wav", "2.wav", "3.wav", "4.wav", "5.WAV", "6.wav"]
-    assert got[5]["audio"] is None and all(np.allclose(r["audio"], x, atol=0.01) for r in got[:5])
+    assert got[5]["audio"] is None and all(np.allclose(r["audio"], x, atol=0.02) for r in got[:5])
     assert len(ingest.decode_wav(files.where("file like '%2.wav'"), rate=16000).first()["audio"]) == 1600
 
     def make():
