@@ -300,7 +300,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     marked = written(linked.where(~least | (F.col("n") > 1)).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.th").alias("_of"), least.alias("_least")), "marked")
     hashed = docs.withColumn("_th", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of"))
-    rest = hashed.join(marked, same, "left_anti").select(*docs.columns)
+    # a merge join at every size: marked rows grow with the input, so no broadcast of them is bounded
+    rest = hashed.join(marked.hint("merge"), same, "left_anti").select(*docs.columns)
     repeated = marked.where("_least")
     if repeated.isEmpty():
         return rest
