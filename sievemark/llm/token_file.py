@@ -152,7 +152,7 @@ class _Known(dict):
     A chunk is kept for good when it is met again while it waits in `once`, whose chunks go when it is full; so the many
     words that come but once don't fill the memory. Chunks over `LONGEST` characters seldom come again and aren't kept."""
 
-    LIMIT, WAITING, LONGEST = 250_000, 150_000, 12
+    LIMIT, WAITING, LONGEST = 400_000, 250_000, 12
 
     def __init__(self, encoder: Encoder, before: str):
         super().__init__()
